@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillbase.llm import packing, token_counts
+from rillbase.llm import line_rules, packing, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op8_token_counts, op10_line_rules)}
+ORACLE_SQL: dict[str, str] = {"op10_line_rules": line_rules.ORACLE}
