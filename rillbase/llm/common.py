@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
 
 def by_chars(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``most`` bytes each, or one row."""
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     begin = held = 0
     for i, n in enumerate(sizes):
         if held and held + (n or 0) > most:

@@ -11,6 +11,7 @@ import uuid
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, ta
         for whole in batches:
             for batch in by_chars(whole, "text"):
                 tokens = encode(batch.column("text").to_pylist())
-                sizes = pa.compute.cast(pa.compute.binary_length(batch.column("text")), pa.int64())
+                sizes = pc.cast(pc.binary_length(batch.column("text")), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     out = docs.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
