@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillbase.llm import line_rules, packing, token_counts, warc
+from rillbase.llm import line_rules, packing, simhash, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op8_token_counts, op9_warc, op10_line_rules)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op7_simhash, op8_token_counts, op9_warc, op10_line_rules)}
 ORACLE_SQL: dict[str, str] = {"op10_line_rules": line_rules.ORACLE}
