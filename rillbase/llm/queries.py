@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillbase.llm import line_rules, packing, simhash, token_counts, warc
+from rillbase.llm import line_rules, packing, simhash, suffixes, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op7_simhash, op8_token_counts, op9_warc, op10_line_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op7_simhash, op8_token_counts, op9_warc, op10_line_rules)}
 ORACLE_SQL: dict[str, str] = {"op10_line_rules": line_rules.ORACLE}
