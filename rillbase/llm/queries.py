@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillbase.llm import decontaminate, line_rules, packing, simhash, suffixes, token_counts, warc
+from rillbase.llm import cotraining, decontaminate, line_rules, packing, simhash, suffixes, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,5 +43,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op5_decontaminate, op7_simhash, op8_token_counts, op9_warc, op10_line_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_cotraining, op5_decontaminate, op7_simhash, op8_token_counts, op9_warc, op10_line_rules)}
 ORACLE_SQL: dict[str, str] = {"op10_line_rules": line_rules.ORACLE}
