@@ -213,10 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unl
     return quality, toxic, edges
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unlabelled: int = UNLABELLED_ROWS, cut: float = 0.5) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unlabelled: int = UNLABELLED_ROWS, cut: float = 0.5, toxic_cut: float = 0.4) -> DataFrame:
     """``doc_id, low_quality, toxicity, kept`` for every row of ``docs`` (``doc_id, text, lang, source, n_chars``).
 
-    ``low_quality`` and ``toxicity`` are calibrated probabilities; a document is kept if both are under ``cut``.
+    ``low_quality`` and ``toxicity`` are calibrated probabilities; a document is kept unless they are above ``cut`` and ``toxic_cut``.
     The models are fitted on the driver on at most ``labelled`` rows of ``labels`` (``doc_id, quality, toxic``) and
     ``unlabelled`` others; repeated labels of a document count as its worst. Without labels of both values a head says its only value, or nothing
     (0.5, not rejected). A null text is empty, null metadata a value of its own. Scoring is a scan without an exchange.
@@ -247,4 +247,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(low, pa.float64()), pa.array(bad, pa.float64())], ["doc_id", "low_quality", "toxicity"])
 
     out = docs.mapInArrow(score, f"doc_id {kind.simpleString()}, low_quality double, toxicity double")
-    return out.withColumn("kept", ~((F.col("low_quality") > cut) | (F.col("toxicity") > cut)))
+    return out.withColumn("kept", ~((F.col("low_quality") > cut) | (F.col("toxicity") > toxic_cut)))
