@@ -1,24 +1,58 @@
-"""The corpus pipeline: five stages, each one of the operators of ``rillbase.llm``."""
+"""The corpus pipeline: five stages, each one of the operators of ``rillbase.llm``.
+
+Every stage takes the documents that the one before kept and returns the columns of
+``documents``, but for the last, which returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillbase.llm import packing
+from rillbase.llm import cotraining, decontaminate, packing, simhash, suffixes
 from rillbase.llm.common import written
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = cotraining.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = scored.where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays: that with the least id."""
+    dropped = simhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that an earlier document has go; so do documents of which nothing is left."""
+    left = suffixes.remove_repeats(docs, texts=True).where("doc_id is not null").select("doc_id", F.col("text").alias("left"), "n_removed")
+    joined = docs.drop("text").join(left.dropDuplicates(["doc_id"]), "doc_id")
+    kept = joined.where("n_removed = 0 or left <> ''")
+    return kept.select("doc_id", F.col("left").alias("text"), "lang", "source", F.length("left").cast("long").alias("n_chars"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item go."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality classifier", quality), ("simhash near-dedup", near_dedup), ("suffix-array dedup", repeats), ("benchmark decontamination", decontaminated), ("packing", pack)]
 
-#: Tokenization, suffix sorting and trained models are beyond SQL.
+#: Trained models, suffix sorting and tokenization are beyond SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
