@@ -1,6 +1,6 @@
 """WARC archives as a Spark data source (operator 9).
 
-Writing gives one archive for each task and a sidecar of record offsets. Reading plans one
+Writing gives one archive for each task, gzipped record by record, and sidecars of record offsets. Reading plans one
 partition for each stretch of whole records, takes equality predicates on ``record_type`` and
 on header columns from the planner, parses a record's headers first, and steps over the
 payload of a record that the predicates refuse or whose payload no column asks for.
@@ -9,10 +9,12 @@ payload of a record that the predicates refuse or whose payload no column asks f
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -60,28 +62,29 @@ class _Wrote(WriterCommitMessage):
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path, self.stretch = options["path"], int(options.get("stretchbytes", 16 << 20))
+        self.path, self.stretch, self.gzip = options["path"], int(options.get("stretchbytes", 16 << 20)), options.get("compression", "gzip") == "gzip"
 
     def write(self, iterator):
         """Attempts write under names of their own; ``commit`` lists those that count."""
         fs, base = _filesystem(self.path)
         fs.create_dir(base, recursive=True)
-        name, at, begun, records = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc", 0, 0, 0
-        offsets = [0]
-        with fs.open_output_stream(f"{base}/{name}") as out:
+        name, at = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}", 0
+        offsets, stretches = [], []
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
             for batch in iterator:
                 for rid, uri, ref, payload in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "refers_to", "payload"))):
                     raw = record(rid, uri or "", payload or b"", ref)
-                    if at - begun >= self.stretch:
-                        offsets.append(at)
-                        begun = at
+                    if self.gzip:
+                        raw = gzip.compress(raw, 1, mtime=0)
+                    if not stretches or at - offsets[stretches[-1]] >= self.stretch:
+                        stretches.append(len(offsets))
+                    offsets.append(at)
                     out.write(raw)
                     at += len(raw)
-                    records += 1
-        offsets.append(at)
-        with fs.open_output_stream(f"{base}/{name}.offsets") as out:
-            out.write(struct.pack(f"<{len(offsets)}q", *offsets))
-        return _Wrote(name, records)
+        for end, numbers in ((".offsets", [*offsets, at]), (".stretches", [*stretches, len(offsets)])):
+            with fs.open_output_stream(f"{base}/{name}{end}") as out:
+                out.write(struct.pack(f"<{len(numbers)}q", *numbers))
+        return _Wrote(name, len(offsets))
 
     def commit(self, messages):
         fs, base = _filesystem(self.path)
@@ -93,7 +96,7 @@ class _Writer(DataSourceArrowWriter):
         fs, base = _filesystem(self.path)
         for m in messages:
             if m:
-                for end in ("", ".offsets"):
+                for end in ("", ".offsets", ".stretches"):
                     fs.delete_file(f"{base}/{m.name}{end}")
 
 
@@ -124,19 +127,21 @@ class _Reader(DataSourceReader):
             names = [n for n, k in json.loads(file.read()).items() if k]
         parts = []
         for name in sorted(names):
-            with fs.open_input_stream(f"{base}/{name}.offsets") as file:
-                raw = file.read()
-            offsets = struct.unpack(f"<{len(raw) // 8}q", raw)
-            parts += [_Stretch(name, a, b) for a, b in zip(offsets, offsets[1:])]
+            with fs.open_input_stream(f"{base}/{name}.stretches") as file:
+                numbers = _numbers(file.read())
+            parts += [_Stretch(name, a, b) for a, b in zip(numbers, numbers[1:])]
         return parts or [_Stretch("", 0, 0)]
 
     def read(self, part):
         if not part.name:
             return
         fs, base = _filesystem(self.path)
+        with fs.open_input_file(f"{base}/{part.name}.offsets") as file:
+            file.seek(part.begin * 8)
+            offsets = _numbers(file.read((part.end - part.begin + 1) * 8))
         with fs.open_input_file(f"{base}/{part.name}") as file:
             rows, held = [], 0
-            for row in self._records(file, part.begin, part.end):
+            for row in self._records(file, offsets, part.name.endswith(".gz")):
                 rows.append(row)
                 held += len(row[-1] or b"") + 300
                 if held > 8 << 20 or len(rows) >= 10_000:
@@ -145,21 +150,19 @@ class _Reader(DataSourceReader):
             if rows:
                 yield _batch(rows)
 
-    def _records(self, file, at: int, end: int):
-        while at < end:
-            file.seek(at)
+    def _records(self, file, offsets, packed: bool):
+        for at, end in zip(offsets, offsets[1:]):
+            take = _taker(file, at, end, packed)
             head = b""
             while (cut := head.find(b"\r\n\r\n")) < 0:
-                more = file.read(min(1024, end - at - len(head)))
-                if not more:
-                    raise ValueError(f"a record at {at} is cut short")
+                if not (more := take(1024)):
+                    raise ValueError(f"the record at {at} is cut short")
                 head += more
             lines = head[:cut].decode().split("\r\n")
             if not lines[0].startswith("WARC/1."):
                 raise ValueError(f"no record begins at {at}")
             named = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
-            length, body = int(named["content-length"]), at + cut + 4
-            at = body + length + 4
+            length = int(named["content-length"])
             values = {c: named.get(h.lower()) for c, h in HEADERS.items()}
             values = {c: v.strip("<>") if v and c in ("record_id", "refers_to") else v for c, v in values.items()}
             values["payload_digest"] = (values["payload_digest"] or "").removeprefix("sha1:")
@@ -168,9 +171,10 @@ class _Reader(DataSourceReader):
                 continue
             ahead, most = head[cut + 4 :], length if self.payloads or kind != "response" else min(length, 512)
             block = ahead[:length]
-            if len(block) < most:
-                file.seek(body + len(block))
-                block += file.read(most - len(block))
+            while len(block) < most:
+                if not (more := take(most - len(block))):
+                    raise ValueError(f"the record at {at} is cut short")
+                block += more
             http, _, payload = block.partition(b"\r\n\r\n")
             size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
             if kind == "response" and self.payloads and (len(payload) != size or digest(payload) != values["payload_digest"]):
@@ -178,6 +182,38 @@ class _Reader(DataSourceReader):
             yield kind, values["record_id"], values["target_uri"], values["payload_digest"], values["refers_to"], size, payload if kind == "response" and self.payloads else None
 
 
+def _numbers(raw: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(raw) // 8}q", raw)
+
+
+def _taker(file, at: int, end: int, packed: bool):
+    """A function that gives the next bytes, at most as many as asked, of the record from ``at`` to ``end``; no more is read or inflated."""
+    if not packed:
+        file.seek(at)
+        left = [end - at]
+
+        def plain(n: int) -> bytes:
+            raw = file.read(min(n, left[0]))
+            left[0] -= len(raw)
+            return raw
+
+        return plain
+    file.seek(at)
+    left, inflate, waiting = [end - at], zlib.decompressobj(31), [b""]
+
+    def inflated(n: int) -> bytes:
+        while True:
+            if not waiting[0] and left[0]:
+                waiting[0] = file.read(min(max(2048, n // 2), left[0]))
+                left[0] -= len(waiting[0])
+            raw = inflate.decompress(waiting[0], n)
+            waiting[0] = inflate.unconsumed_tail
+            if raw or not (left[0] or waiting[0]):
+                return raw
+
+    return inflated
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.string()] * 5 + [pa.int64(), pa.binary()]
     names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
@@ -185,7 +221,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc")`` and ``df.write.format("warc")``; options ``path``, ``payloads`` (read), ``stretchbytes`` (write)."""
+    """``spark.read.format("warc")`` and ``df.write.format("warc")``; options ``path``, ``payloads`` (read), ``stretchbytes`` and ``compression`` (write: gzip, one member for each record, or none)."""
 
     @classmethod
     def name(cls):
