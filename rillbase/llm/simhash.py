@@ -14,7 +14,7 @@ from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillbase.llm.common import by_chars, texts_of, written
@@ -22,8 +22,8 @@ from rillbase.llm.components import components
 from rillbase.llm.shingles import mix, text_shingles
 
 BITS, TABLES, SAMPLED, CAP, NEAREST = 256, 32, 10, 512, 4
-#: Of 128 bits, those that two sets may differ in: a pair at similarity 0.8 differs in 19.4 on average, with deviation 4.1.
-DISTANCE = 36
+#: Bits that two sets may differ in: a pair at similarity 0.8 differs in 38.8 on average, with deviation 5.7.
+DISTANCE = 60
 #: The chance that a bit of two sets at similarity 0.8 agrees.
 AGREE = 0.8485
 
@@ -83,15 +83,15 @@ def bucket_rows(sets: DataFrame, tables: int = TABLES, sampled: int = SAMPLED) -
 
 
 def _near(bits: np.ndarray, block: int = 512):
-    """Blocks ``(rows, first column, distance)`` of the Hamming distances, over the first 128 bits, of ``bits`` (n, 2 words) against those before."""
+    """Blocks ``(rows, first column, distance)`` of the Hamming distances, of ``bits`` (n, 4 words) against those before."""
     for i in range(0, len(bits), block):
         for j in range(0, i + 1, block):
             a, b = bits[i : i + block], bits[j : j + block]
-            yield i, j, sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.uint8) for w in range(2))
+            yield i, j, sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(BITS // 64))
 
 
 def candidates(ids: np.ndarray, words: np.ndarray, labels: np.ndarray | None, distance: int = DISTANCE, nearest: int = NEAREST):
-    """Pairs within ``distance``, and whether some were left for later: in a group of more than 8 * ``nearest`` each
+    """Pairs within ``distance`` with their distance, and whether some were left for later: in a group of more than 8 * ``nearest`` each
     member names its ``nearest`` earlier ones. With ``labels`` all pairs of different labels are named."""
     pairs, left = [], False
     few = labels is None and len(ids) > 8 * nearest
@@ -107,15 +107,16 @@ def candidates(ids: np.ndarray, words: np.ndarray, labels: np.ndarray | None, di
             for r, c, x in zip((rows + i).tolist(), (columns + j).tolist(), d[rows, columns].tolist()):
                 best.setdefault(r, []).append((x, c))
             continue
+        apart = d[rows, columns].astype(np.int64)
         rows, columns = rows + i, columns + j
         if labels is not None:
             other = labels[rows] != labels[columns]
-            rows, columns = rows[other], columns[other]
-        pairs.append(np.stack([ids[rows], ids[columns]], 1))
+            rows, columns, apart = rows[other], columns[other], apart[other]
+        pairs.append(np.stack([np.minimum(ids[rows], ids[columns]), np.maximum(ids[rows], ids[columns]), apart], 1))
     for r, found in best.items():
         left |= len(found) > nearest
-        pairs.append(np.array([(ids[r], ids[c]) for _, c in sorted(found)[:nearest]]))
-    return (np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)), left
+        pairs.append(np.array([(min(ids[r], ids[c]), max(ids[r], ids[c]), x) for x, c in sorted(found)[:nearest]], np.int64))
+    return (np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)), left
 
 
 def _groups(bits: np.ndarray, key: int, cap: int):
@@ -135,7 +136,7 @@ def _groups(bits: np.ndarray, key: int, cap: int):
 
 
 def bucket_pairs(rows: DataFrame, cap: int = CAP, distance: int = DISTANCE, nearest: int = NEAREST) -> DataFrame:
-    """``kind, a, b, bits`` over ``key, id, bits[, label]``: kind 0 has candidate pairs; kind 1 members (``a``) of groups (``b``) in which some were left for later."""
+    """``kind, a, b, apart, bits`` over ``key, id, bits[, label]``: kind 0 has candidate pairs; kind 1 members (``a``) of groups (``b``) in which some were left for later."""
     labelled = "label" in rows.columns
 
     def pair(batches):
@@ -148,16 +149,16 @@ def bucket_pairs(rows: DataFrame, cap: int = CAP, distance: int = DISTANCE, near
             labels = np.concatenate([h[2] for h in held]) if labelled else None
             out, rest = [], []
             for g in _groups(bits, key_now, cap):
-                words = np.ascontiguousarray(bits[g, :16]).view(np.uint64)
+                words = np.ascontiguousarray(bits[g]).view(np.uint64)
                 pairs, left = candidates(ids[g], words, None if labels is None else labels[g], distance, nearest)
                 out.append(pairs)
                 if left:
                     rest.append((np.full(len(g), (key_now << 20) + group_no), g))
                     group_no += 1
-            pairs = np.unique(np.sort(np.concatenate(out or [np.zeros((0, 2), np.int64)]), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], ["kind", "a", "b", "bits"])
+            pairs = np.unique(np.concatenate(out or [np.zeros((0, 3), np.int64)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), pa.nulls(len(pairs), pa.binary())], ["kind", "a", "b", "apart", "bits"])
             for numbers, g in rest:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(ids[g]), pa.array(numbers), pa.array([x.tobytes() for x in bits[g]], pa.binary())], ["kind", "a", "b", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(ids[g]), pa.array(numbers), pa.nulls(len(g), pa.int64()), pa.array([x.tobytes() for x in bits[g]], pa.binary())], ["kind", "a", "b", "apart", "bits"])
 
         key_now = None
         for batch in batches:
@@ -178,7 +179,7 @@ def bucket_pairs(rows: DataFrame, cap: int = CAP, distance: int = DISTANCE, near
             yield from close()
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "id")
-    return ordered.mapInArrow(pair, "kind int, a long, b long, bits binary")
+    return ordered.mapInArrow(pair, "kind int, a long, b long, apart long, bits binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -220,12 +221,21 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, tables: int = TABL
     sets = facts.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("id"), F.min("bits").alias("bits"))
     sets = written(sets.select("id", "set1", "set2", "n", "bits"), "simhash-sets")
     found = written(bucket_pairs(bucket_rows(sets, tables, sampled), cap, distance), "simhash-pairs")
-    links = written(verified(found.where("kind = 0").select("a", "b"), docs, similarity), "links")
+    pairs = written(found.where("kind = 0").select("a", "b", "apart").distinct(), "candidates")
+    # At first the nearest candidates of each member; a member has at most NEAREST of them for each table.
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a")))
+    ranked = written(ranked, "ranked")
+    links = written(verified(ranked.where(F.col("rank") <= NEAREST).select("a", "b"), docs, similarity), "links")
+    # Then all others whose ends are in different classes.
+    labels = written(components(links), "labels")
     rest = found.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("id"), "bits")
-    if not rest.isEmpty():
-        labels = components(links)
-        labelled = rest.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        more = bucket_pairs(labelled.select("key", "id", "bits", "label"), 1 << 62, distance).where("kind = 0").select("a", "b")
+    labelled = rest.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    more = bucket_pairs(labelled.select("key", "id", "bits", "label"), 1 << 62, distance).where("kind = 0").select("a", "b")
+    one, two = (labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    others = ranked.where(F.col("rank") > NEAREST).select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    others = others.where(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b")
+    more = written(more.unionByName(others), "later")
+    if not more.isEmpty():
         links = written(links.unionByName(verified(more, docs, similarity)), "links")
     same = facts.join(sets.select("set1", "set2", "n", "id"), ["set1", "set2", "n"]).select("doc_id", "id")
     twice = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
