@@ -54,7 +54,7 @@ def cross_sum(df: DataFrame, number: str, by: str, across: str, values: list | N
     cells = [F.sum(F.when(F.col(across) == F.lit(v), value)).alias(column_name(v)) for v in values]
     out = rows.groupBy(by).agg(*cells)
     if missing is not None:
-        out = out.select(by, *[F.coalesce(F.format_string("%.0f", c), F.lit(missing)).alias(c) for c in out.columns[1:]])
+        out = out.select(by, *[F.when(F.col(c).isNull(), F.lit(missing)).otherwise(F.format_string("%.0f", c)).alias(c) for c in out.columns[1:]])
     return out
 
 
