@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillbase.llm import chunk_store, cotraining, decontaminate, line_rules, packing, simhash, suffixes, token_counts, warc
+from rillbase.llm import chunk_store, cotraining, decontaminate, line_rules, ngram, packing, simhash, suffixes, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +43,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_cotraining, op4_chunk_store, op5_decontaminate, op7_simhash, op8_token_counts, op9_warc, op10_line_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_cotraining, op4_chunk_store, op5_decontaminate, op6_ngram_scores, op7_simhash, op8_token_counts, op9_warc, op10_line_rules)}
 ORACLE_SQL: dict[str, str] = {"op10_line_rules": line_rules.ORACLE}
