@@ -29,8 +29,8 @@ from rillbase.llm.common import by_chars, shared_place, texts_of
 from rillbase.llm.shingles import joined, mix, word_hashes, words
 
 END = np.uint64(0x9E3779B97F4A7C15)
-#: Starts of texts that agree in so many tokens are compared to their ends.
-STEM = 32
+#: Tokens of a training text's start whose recurrence decides whether all of it is searched for, and those of the grams that tell.
+STEM, GRAM = 32, 8
 WEIGHT, GROWTH, ADD = 3.0, 0.75, 0.1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -56,7 +56,7 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, firsts[1:], END), np.diff(firsts) + 1
 
 
-_SHARD = "shard long, doc_ids array<long>, held array<boolean>, sizes array<int>, stems array<long>, hashes binary, tokens binary"
+_SHARD = "shard long, doc_ids array<long>, held array<boolean>, sizes array<int>, stems array<long>, marks array<long>, hashes binary, tokens binary"
 
 
 def shards_of(docs: DataFrame, most: int = 28 << 20) -> DataFrame:
@@ -69,11 +69,11 @@ def shards_of(docs: DataFrame, most: int = 28 << 20) -> DataFrame:
             hashes, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
             sizes = np.concatenate([h[1] for h in held])
             ids = [i for h in held for i in h[0]]
-            out = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids]
-            stems = np.concatenate([h[3] for h in held])
+            out = [o for h in held for o in h[5]]
+            stems, marks = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
             arrays = [
                 pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32())),
-                pa.array([stems.tolist()], pa.list_(pa.int64())), pa.array([hashes.tobytes()], pa.binary()), pa.array([planes(tokens)], pa.binary()),
+                pa.array([stems.tolist()], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.int64())), pa.array([hashes.tobytes()], pa.binary()), pa.array([planes(tokens)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _SHARD.split(", ")])
 
@@ -81,9 +81,10 @@ def shards_of(docs: DataFrame, most: int = 28 << 20) -> DataFrame:
             for batch in by_chars(whole, "text", 2_000_000):
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 hashes, sizes = token_hashes(texts)
-                first = np.cumsum(sizes) - sizes
-                stems = np.array([_stem(hashes[a : a + n]) for a, n in zip(first, sizes)], np.int64)
-                held.append((ids, sizes, hashes, stems))
+                out = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids]
+                text, marks, stems = marks_of(hashes, sizes)
+                trained = ~np.array(out, bool)
+                held.append((ids, sizes, hashes, np.where(trained & (sizes > STEM + 1), stems, 0), marks[trained[text]], out))
                 size += int(pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)
                 if size >= most:
                     yield flush()
@@ -94,12 +95,33 @@ def shards_of(docs: DataFrame, most: int = 28 << 20) -> DataFrame:
     return docs.mapInArrow(build, _SHARD)
 
 
-def _stem(hashes: np.ndarray) -> int:
-    """A hash of a text's first ``STEM`` tokens; 0 for a text that is shorter."""
-    if len(hashes) < STEM:
-        return 0
+def marks_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least 8-gram of every window of ``STEM`` tokens: ``text, mark`` for each place chosen, and the mark of each text's first window (0: it has none).
+
+    Where a text's first window recurs, in whatever place, its mark recurs there.
+    """
+    n, span = len(hashes), STEM - GRAM + 1
+    ends = np.cumsum(sizes)
+    stems = np.zeros(len(sizes), np.int64)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(np.arange(n) + STEM <= ends[text])
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), stems
     with np.errstate(over="ignore"):
-        return int(np.bitwise_xor.reduce(mix(hashes[:STEM] + np.arange(STEM, dtype=np.uint64) * _STEP)).astype(np.int64))
+        h, have = mix(hashes), 1
+        while have < GRAM:
+            h, have = h[:-have] * _STEP + h[have:], have * 2
+        h = mix(h)
+    mask = np.uint64((1 << max(16, n.bit_length())) - 1)
+    least, have = (h & ~mask) | np.arange(len(h), dtype=np.uint64), 1
+    while have * 2 <= span:
+        least, have = np.minimum(least[:-have], least[have:]), have * 2
+    least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
+    own = (least[at] & mask).astype(np.int64)
+    first = np.flatnonzero(np.isin(at, ends - sizes))
+    stems[text[at[first]]] = h[own[first]].astype(np.int64)
+    places = np.unique(own)
+    return text[places], h[places].astype(np.int64), stems
 
 
 def unigrams(shards: DataFrame, buckets: int) -> DataFrame:
@@ -338,9 +360,9 @@ _QUERY = "shard long, held array<boolean>, reach array<int>, hashes binary, toke
 
 
 def queries_of(shards: DataFrame) -> DataFrame:
-    """What is searched for, by home shard: held-out texts whole, training texts up to ``STEM`` + 1 tokens, or whole if another text begins with the same ``STEM``."""
+    """What is searched for, by home shard: held-out texts whole, training texts up to ``STEM`` + 1 tokens, or whole if what they begin with may recur."""
     stems = shards.select("shard", F.posexplode("stems").alias("at", "stem")).where("stem <> 0")
-    again = stems.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stem")
+    again = shards.select(F.explode("marks").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stem")
     whole = stems.join(again, "stem").groupBy("shard").agg(F.collect_list("at").alias("whole"))
 
     def cut(batches):
@@ -475,8 +497,7 @@ def score_texts(docs: DataFrame, weight: float = WEIGHT, growth: float = GROWTH,
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     A text whose ``crc32(doc_id) mod 10`` is 0 is held out, all others are training. Null texts are empty: one end token. A null id is held out.
-    Rows that share a ``doc_id`` are texts of their own. Beyond its first ``STEM`` tokens, what a training text begins with counts once if no other text
-    begins with the same ``STEM``. An empty table gives an empty one. A task holds one shard and one block of queries. The search looks for a stated query set (held-out texts and the starts of
+    Rows that share a ``doc_id`` are texts of their own. An empty table gives an empty one. A task holds one shard and one block of queries. The search looks for a stated query set (held-out texts and the starts of
     the others) in every shard; its work is the number of queries times that of shards, so ``shard_bytes`` should grow with the memory of executors.
     """
     spark = docs.sparkSession
