@@ -31,7 +31,7 @@ from rillbase.llm.shingles import joined, mix, word_hashes, words
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens of a training text's start whose recurrence decides whether all of it is searched for, and those of the grams that tell.
 STEM, GRAM = 32, 8
-WEIGHT, GROWTH, ADD = 3.0, 0.75, 0.1
+WEIGHT, GROWTH, ADD = 3.0, 0.9, 0.1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
