@@ -3,7 +3,7 @@
 A rolling hash over the ids cuts each document's stream into chunks; equal chunks are stored
 once. A store is a folder:
 
-* ``packs/``: files of chunks, each chunk the little-endian ids deflated with zlib;
+* ``packs/``: files of chunks, each chunk the little-endian ids compressed with zstd;
 * ``recipes/``: Parquet in ascending ``doc_id``: ``doc_id, start, n_tokens, root, part`` and for each chunk
   of the document its pack, offset, stored bytes and digest;
 * ``manifest/``: Parquet, one row for each part of the recipes: its document count, its ids and its Merkle root.
@@ -20,7 +20,9 @@ import uuid
 import zlib
 
 import numpy as np
+import zstandard
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from rillbase.llm.shingles import mix
 from rillbase.llm.units import default_path, encoder
 
 LEAST, MEAN, MOST, SPAN = 128, 512, 4096, 16
+#: Documents of a part of the recipes, about; a part is read by one task.
+PART_DOCS = 16_000
 _GEAR = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
@@ -38,7 +42,7 @@ def _filesystem(path: str):
 
 
 def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ``ids``: where the rolling hash of the last ``SPAN`` ids has its lowest bits clear, ``LEAST`` to ``MOST`` ids apart."""
+    """Ends of the chunks of ``ids``: where the rolling hash of the last ``SPAN`` ids has its highest bits clear, ``LEAST`` to ``MOST`` ids apart."""
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
@@ -46,7 +50,7 @@ def boundaries(ids: np.ndarray) -> list[int]:
         g = _GEAR[ids & np.uint32(0xFFFF)] + (ids >> np.uint32(16)).astype(np.uint64)
         for step in (1, 2, 4, 8):  # SPAN of 16 by doubling
             g = np.concatenate((g[:step], g[step:] + (g[:-step] << np.uint64(step))))
-    marks = np.flatnonzero((mix(g) & np.uint64(MEAN - 1)) == 0) + 1
+    marks = np.flatnonzero(g >> np.uint64(64 - (MEAN - 1).bit_length()) == 0) + 1
     ends, last = [], 0
     for m in [*marks.tolist(), n]:
         while m - last > MOST:
@@ -74,7 +78,7 @@ def _staged(docs: DataFrame, path: str, end_id: int, packs: str) -> DataFrame:
     """Encode and chunk; chunks go into a pack of the task attempt, each once. Packs of lost attempts are named by no row."""
 
     def stage(batches):
-        encode = encoder(path)
+        encode, compress = encoder(path), zstandard.ZstdCompressor(level=1).compress
         fs, base = _filesystem(packs)
         fs.create_dir(base, recursive=True)
         name, at, seen = f"{uuid.uuid4().hex}.pack", 0, {}
@@ -92,7 +96,7 @@ def _staged(docs: DataFrame, path: str, end_id: int, packs: str) -> DataFrame:
                             if digest not in seen:
                                 if len(seen) >= 1 << 18:  # bounds the task's memory; the index below unites what recurs
                                     seen.clear()
-                                packed = zlib.compress(plain, 1)
+                                packed = compress(plain)
                                 out.write(packed)
                                 seen[digest] = (at, len(packed))
                                 at += len(packed)
@@ -143,11 +147,11 @@ def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: in
     fs, base = _filesystem(staging)
     fs.delete_dir(base)
     order = [F.col("doc_id").asc_nulls_first(), F.col("digests")]
-    n = max(1, staged.count() // 200_000)
+    n = max(1, staged.count() // PART_DOCS)
     ranged = staged.select("doc_id", "n_tokens", "digests").repartitionByRange(n, *order).sortWithinPartitions(*order)
     ranged = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "ranged")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each part of 200,000 documents.
+    # One row for each part of PART_DOCS documents.
     sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     inner = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.join(sums, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
@@ -183,18 +187,23 @@ def read_store(spark, place: str, ids: bool = False, wide: bool = False) -> Data
     def read(batches):
         fs, base = _filesystem(f"{place}/packs")
         files: dict[str, object] = {}
+        decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for doc, row, part, start, n, root, chunks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "part", "start", "n_tokens", "root", "chunks"))):
+            listed = batch.column("chunks")
+            flat = listed.flatten()
+            ends = np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False)).tolist()
+            every = [dict(zip(("pack", "offset", "size", "digest"), x)) for x in zip(*(flat.field(c).to_pylist() for c in ("pack", "offset", "size", "digest")))]
+            for i, (doc, row, part, start, n, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "part", "start", "n_tokens", "root")))):
                 plain = []
-                for c in chunks:
+                for c in every[ends[i - 1] if i else 0 : ends[i]]:
                     if c["pack"] not in files:
                         if len(files) >= 64:
                             files.clear()
                         files[c["pack"]] = fs.open_input_file(f"{base}/{c['pack']}")
                     file = files[c["pack"]]
                     file.seek(c["offset"])
-                    plain.append(zlib.decompress(file.read(c["size"])))
+                    plain.append(decompress(file.read(c["size"])))
                     if hashlib.sha256(plain[-1]).digest()[:20] != c["digest"]:
                         raise ValueError(f"a chunk of document {doc} isn't the one its recipe names")
                 if merkle([hashlib.sha256(p).digest()[:20] for p in plain]) != root:

@@ -13,12 +13,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_WORD_AND_TAIL = re.compile(r"(\n?[^\W\d_]+)([!-/:-@\[-`{-~].*)", re.S)
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -66,10 +66,10 @@ class UnitEncoder:
     """Token ids (as packed integers) or token counts of texts, with a bounded cache of units.
 
     ``frequent``: units known beforehand with their lengths (counts only). ``most``: entries kept
-    of all others; when there are more, only units that recur in the texts at hand stay. It bounds memory, never results.
+    of all others, in two halves; when the younger one is full, the older is given up. It bounds memory, never results.
     """
 
-    def __init__(self, path: str, counts: bool = False, frequent: dict[str, int] | None = None, most: int = 700_000):
+    def __init__(self, path: str, counts: bool = False, frequent: dict[str, int] | None = None, most: int = 1_000_000):
         self.encoder = tokenizer(path)
         self.counts, self.most = counts, most
         self.dtype = np.dtype("<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4")
@@ -77,7 +77,9 @@ class UnitEncoder:
         self.cut = spaced_units(path)
         self.frequent = frequent or {}
         self.cache: dict = dict(self.frequent)
+        self.old: dict = {}
         self.firsts: dict = {}
+        self.tails: dict = {}
 
     def _encoded(self, strings: Iterable[str]) -> list:
         found = self.encoder.encode_batch_fast(list(strings), add_special_tokens=False)
@@ -85,13 +87,29 @@ class UnitEncoder:
             return [len(x) for x in found]
         return [array(self.code, x.ids).tobytes() for x in found]
 
-    def _learn(self, missing: set[str], cut: list[list]) -> None:
-        if len(self.cache) + len(missing) > self.most:
-            often = Counter(u for x in cut for u in x[1:])
-            kept = {u: self.cache[u] for u, n in often.items() if n > 1 and u in self.cache}
-            self.cache = self.frequent | kept
-            missing = often.keys() - self.cache.keys()
-        self.cache.update(zip(missing, self._encoded(map(_told, missing))))
+    def _known(self, wanted: set[str]) -> set[str]:
+        """Bring what the older half of the cache has of ``wanted`` to the younger half; returns what neither has."""
+        missing = wanted.difference(self.cache)
+        if missing and self.old:
+            for unit in missing.intersection(self.old):
+                self.cache[unit] = self.old[unit]
+            missing.difference_update(self.old)
+        return missing
+
+    def _learn(self, missing: set[str]) -> None:
+        """Encode units. Letters before punctuation are units of their own, which the pattern never joins, so they are looked up and learned first."""
+        split = {u: m for u in missing if (m := _WORD_AND_TAIL.fullmatch(u))}
+        bases = self._known({m.group(1) for m in split.values()})
+        bases.update(missing.difference(split))
+        listed = list(bases)
+        self.cache.update(zip(listed, self._encoded(map(_told, listed))))
+        for unit, m in split.items():
+            tail = m.group(2)
+            if tail not in self.tails:
+                if len(self.tails) >= self.most // 8:
+                    self.tails.clear()
+                self.tails[tail] = self._encoded([tail])[0]
+            self.cache[unit] = self.cache[m.group(1)] + self.tails[tail]
 
     def __call__(self, texts: list[str]) -> list:
         if not self.cut:
@@ -106,12 +124,16 @@ class UnitEncoder:
                 self.firsts[first] = self._encoded([first])[0]
             x[0] = self.firsts[first]
             missing.update(set(x[1:]).difference(self.cache))
-        if missing:
-            self._learn(missing, cut)
+        if missing and (missing := self._known(missing)):
+            self._learn(missing)
         get = self.cache.__getitem__
         if self.counts:
-            return [x[0] + sum(map(get, x[1:])) for x in cut]
-        return [x[0] + b"".join(map(get, x[1:])) for x in cut]
+            out = [x[0] + sum(map(get, x[1:])) for x in cut]
+        else:
+            out = [x[0] + b"".join(map(get, x[1:])) for x in cut]
+        if len(self.cache) > self.most // 2:
+            self.old, self.cache = self.cache, dict(self.frequent)
+        return out
 
 
 _ENCODERS: dict[tuple, UnitEncoder] = {}
