@@ -65,7 +65,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, steps: int = 150,
     n = len(rows)
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     if not n or labels.min() == labels.max():
-        w[-1] = 0 if not n else (4 if labels[0] else -4)
+        w[-1] = -20 if not n else (4 if labels[0] else -4)
         return w
     at, cols = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
     share = labels.mean()
@@ -218,8 +218,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
 
     ``low_quality`` and ``toxicity`` are calibrated probabilities; a document is kept unless they are above ``cut`` and ``toxic_cut``.
     The models are fitted on the driver on at most ``labelled`` rows of ``labels`` (``doc_id, quality, toxic``) and
-    ``unlabelled`` others; repeated labels of a document count as its worst. Without labels of both values a head says its only value, or nothing
-    (0.5, not rejected). A null text is empty, null metadata a value of its own. Scoring is a scan without an exchange.
+    ``unlabelled`` others; repeated labels of a document count as its worst. Without labels of both values a head says its only value, without any
+    nothing (0, not rejected). A null text is empty, null metadata a value of its own. Scoring is a scan without an exchange.
     """
     kind = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.col("n_chars").cast("long"))
