@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillbase.functions import typed
+from rillbase.storage import written
 
 _KINDS = ("string", "numeric", "caseless", "nocase", "date", "binary", "octal", "hexadecimal", "dictionary", "printable")
 
@@ -116,13 +117,14 @@ def numbered(df: DataFrame, *order: str, name: str = "rec#", by: tuple[str, ...]
     """Record numbers from 1 in the typed order, of the whole table or within ``by``.
 
     The whole table is numbered without gathering it: range partitions are sorted and counted, and
-    a partition's numbers start after those of the partitions before it.
+    a partition's numbers start after those of the partitions before it. The sorted rows are written to the
+    shared folder once, since ranges come from samples and would not be the same the next time.
     """
     if by:
         keys = [SortKey.read(s).order(df) for s in order]
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*keys)).cast("long"))
     keys = [SortKey.read(s).order(df) for s in order]
-    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33)
     counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
