@@ -2,46 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillbase.storage import shared_place, shared_root, written
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, is a temporary folder made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="rillbase-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def shared_place(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder; nothing is there yet."""
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Cut the lineage of ``df``: write it to the shared folder and read it back."""
-    spark = df.sparkSession
-    place = shared_place(spark, tag)
-    writer = df.write.option("compression", "zstd")
-    for key, value in options.items():
-        writer = writer.option(key, value)
-    writer.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+__all__ = ["by_chars", "shared_place", "shared_root", "texts_of", "written"]
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
