@@ -267,6 +267,22 @@ def _selection(plan: _Plan, select: list[str] | str) -> list[tuple[where.Attr, s
     return items
 
 
+class Prepared:
+    """A query that is read once and run with constants for the words ``$name`` of its where-clause."""
+
+    def __init__(self, select: list[str] | str, where_clause: str | list[str], **options):
+        self.select, self.options = select, options
+        self.words = where.split(where_clause) if isinstance(where_clause, str) else list(where_clause)
+        where.parse(self.words)
+        self.names = {w[1:] for w in self.words if w[:1] == "$" and w[1:].isidentifier()}
+
+    def run(self, tables: dict[str, DataFrame] | list[tuple[str, DataFrame]], **values) -> DataFrame:
+        if set(values) != self.names:
+            raise ValueError(f"values are needed for {sorted(self.names)}")
+        words = [str(values[w[1:]]) if w[:1] == "$" and w[1:] in values else w for w in self.words]
+        return retrieve(tables, self.select, words, **self.options)
+
+
 def exists(*args, **kwargs) -> DataFrame:
     """One row with ``found``: whether ``retrieve`` with these arguments has a row."""
     return retrieve(*args, **kwargs).limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))

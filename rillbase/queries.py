@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillbase.functions import scalar, typed
 from rillbase.operators import aggregates, joins, sorting, tables, validation
-from rillbase.plans.retrieve import exists, retrieve, select_where
+from rillbase.plans.retrieve import Prepared, exists, retrieve, select_where
 from rillbase.sources import flatfile, reports
 from rillbase.sources.descriptor import read_descriptor
 
@@ -134,6 +134,13 @@ def fl_in_two_tables(t: Tables) -> DataFrame:
     return retrieve({"nation": t.nation, "region": t.region}, "n_name r_name", "n_regionkey fn= r_regionkey and n_name,r_name in (NATION_1,AMERICA),(NATION_2,ASIA)")
 
 
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'MACHINERY' AND o_totalprice > 400000")
+def prepared_query(t: Tables) -> DataFrame:
+    """A query whose constants are given when it runs."""
+    q = Prepared("c_custkey o_orderkey", "c_custkey fn= o_custkey and c_mktsegment = $segment and o_totalprice gt $least")
+    return q.run({"customer": t.customer, "orders": t.orders}, segment="MACHINERY", least=400000)
+
+
 # Projection
 
 
@@ -392,6 +399,12 @@ def so_caseless(t: Tables) -> DataFrame:
     return _ranked(df, "n:caseless:blanks", "h:hexadecimal", "p_partkey:numeric").select("p_partkey", "place")
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name DESC, p_partkey) AS place FROM part")
+def so_printable(t: Tables) -> DataFrame:
+    df = t.part.select("p_partkey", F.concat(F.lit("\x01"), F.substring("p_name", 1, 3), F.lit("\u00e9\t"), F.expr("substring(p_name, 4)")).alias("n"))
+    return _ranked(df, "n:printable:descending", "p_partkey:numeric").select("p_partkey", "place")
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY date_trunc('second', ts) DESC, event_id) AS place FROM events")
 def so_date(t: Tables) -> DataFrame:
     df = t.events.select("event_id", F.date_format("ts", "yyyyMMddHHmmss").alias("at"))
@@ -480,6 +493,12 @@ def fn_nprintf(t: Tables) -> DataFrame:
     return scalar.rewrite(df, p_size="%05d", h="%x", b="%b", p_retailprice="[%10.1f]")
 
 
+@query("SELECT p_partkey, printf('%o', p_size) AS p_size, printf('%.3e', p_retailprice) AS e, printf('%g', p_retailprice) AS g, printf('%-8s|', p_brand) AS p_brand FROM part")
+def fn_nprintf_more(t: Tables) -> DataFrame:
+    df = t.part.select("p_partkey", "p_size", F.col("p_retailprice").alias("e"), F.col("p_retailprice").alias("g"), "p_brand")
+    return scalar.rewrite(df, p_size="%o", e="%.3e", g="%g", p_brand="%-8s|")
+
+
 @query("SELECT p_partkey, upper(p_name) AS a, ' ' || lower(p_type) AS b, lower(p_type) AS c, p_name || ' ' AS d FROM part")
 def fn_trim_case(t: Tables) -> DataFrame:
     wide = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
@@ -532,6 +551,12 @@ def dm_alter_text(t: Tables) -> DataFrame:
     return tables.alter(df, [("amount", "f+=", "p_size")], "p_size gt 25").drop("p_size")
 
 
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'NEW NAME' ELSE p_name END AS p_name, CASE WHEN p_size > 25 THEN printf('%04x', p_size + 16) ELSE printf('%x', p_size) END AS h FROM part")
+def dm_alter_modifiers(t: Tables) -> DataFrame:
+    df = t.part.select("p_partkey", "p_name", F.lower(F.hex("p_size")).alias("h"), "p_size")
+    return tables.alter(df, [("p_name", "=", "  new name ", ["trim", "toupper"]), ("h", "+=", "10", ["hexadecimal"], "%04x")], "p_size gt 25").drop("p_size")
+
+
 @query("SELECT s_suppkey, CASE WHEN n_regionkey = 1 THEN n_name ELSE s_name END AS s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def dm_alter_join(t: Tables) -> DataFrame:
     nations = select_where(t.nation, "n_regionkey eq 1")
