@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_places: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, is a temporary folder made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,7 +25,17 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_place(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder; nothing is there yet."""
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    place = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _places.append(place)
+    return place
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder. Results that still read from it must have been used before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _places:
+        place = hadoop.Path(_places.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
