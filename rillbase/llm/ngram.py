@@ -176,54 +176,55 @@ class SuffixArray:
     """The suffixes of a shard's training texts in order. A suffix ends with its text, whose end is a token."""
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray):
-        self.tokens, self.hashes, self.n = tokens, hashes, len(tokens)
-        ends = np.cumsum(sizes)
+        # 32-bit numbers wherever they do: a shard has under 2**31 tokens, and memory is what bounds it.
+        small = np.int32
+        self.tokens, self.hashes, self.n = tokens.astype(small), hashes, len(tokens)
+        del tokens
+        ends = np.cumsum(sizes).astype(small)
         self.stop = np.repeat(ends, sizes)
         n = self.n
         # Rank by the first token, then by twice as many tokens in each round, only where ranks are still shared.
-        rank = tokens + 1
-        order = np.argsort(rank, kind="stable")
-        rank = self._ranks(rank[order], order)
-        width = 1
-        open_ = np.arange(n)
-        while len(open_):
-            after = open_ + width
-            inside = after < self.stop[open_]
-            second = np.where(inside, rank[np.minimum(after, n - 1)] + 1, 0)
-            key = rank[open_] * np.int64(n + 1) + second
+        order = np.argsort(self.tokens, kind="stable")
+        rank = self._ranks(self.tokens[order], order)
+        del order
+        width, open_ = 1, np.arange(n, dtype=small)
+        while len(open_) and width <= n:
+            after = open_ + small(width)
+            second = np.where(after < self.stop[open_], rank[np.minimum(after, n - 1)] + small(1), small(0))
+            key = rank[open_].astype(np.int64) * (n + 1) + second
+            del after, second
             by = np.argsort(key, kind="stable")
-            sorted_open, key = open_[by], key[by]
+            open_, key = open_[by], key[by]
+            del by
             new = np.concatenate(([True], key[1:] != key[:-1]))
-            head = np.flatnonzero(new)
+            del key
             # An open group keeps its places; ranks are the place of a group's first member.
-            first = rank[sorted_open]
-            group_first = np.concatenate(([True], first[1:] != first[:-1]))
-            base = np.maximum.accumulate(np.where(group_first, np.arange(len(first)), 0))
-            place = np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
-            fresh = first + place - base
-            rank = rank.copy()
-            rank[sorted_open] = fresh
-            sizes_ = np.diff(np.append(head, len(sorted_open)))
+            first = rank[open_]
+            index = np.arange(len(open_), dtype=small)
+            base = np.maximum.accumulate(np.where(np.concatenate(([True], first[1:] != first[:-1])), index, small(0)))
+            rank[open_] = first + np.maximum.accumulate(np.where(new, index, small(0))) - base
+            del first, base, index
+            sizes_ = np.diff(np.append(np.flatnonzero(new), len(open_)))
             shared = np.repeat(sizes_ > 1, sizes_)
             # Suffixes that have ended are equal for good.
-            open_ = sorted_open[shared & (sorted_open + 2 * width < self.stop[sorted_open])]
-            open_ = np.sort(open_)
+            open_ = np.sort(open_[shared & (open_ + 2 * width < self.stop[open_])])
             width *= 2
-            if width > n:
-                break
-        self.order = np.argsort(rank, kind="stable")
+        self.order = np.argsort(rank, kind="stable").astype(small)
+        del rank
         o = self.order
-        second = np.where(o + 1 < self.stop[o], tokens[np.minimum(o + 1, n - 1)] + 1, 0)
+        second = np.where(o + small(1) < self.stop[o], self.tokens[np.minimum(o + small(1), n - 1)] + small(1), small(0))
         #: The first two tokens of each suffix, in order: where a search begins.
-        self.pairs = tokens[o] * np.int64(1 << 32) + second
+        self.pairs = (self.tokens[o].astype(np.int64) << 32) + second
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes[tokens]) * _powers(n), dtype=np.uint64)))
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes)[self.tokens] * _powers(n), dtype=np.uint64)))
 
     @staticmethod
     def _ranks(values: np.ndarray, order: np.ndarray) -> np.ndarray:
-        rank = np.empty(len(order), np.int64)
-        new = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(values) else rank
+        rank = np.empty(len(order), np.int32)
+        if not len(values):
+            return rank
+        new = np.concatenate(([True], values[1:] != values[:-1]))
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order), dtype=np.int32), np.int32(0)))
         return rank
 
     def token_at(self, place: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
@@ -313,7 +314,7 @@ def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarra
         if depth >= 3 and alone.any():
             m, a, k = many[alone], low[alone], (high - low)[alone]
             which = np.repeat(np.arange(len(m)), k)
-            place = sa.order[np.repeat(a - np.cumsum(k) + k, k) + np.arange(len(which))]
+            place = sa.order[np.repeat(a - np.cumsum(k) + k, k) + np.arange(len(which))].astype(np.int64)
             length = common(sa, place, sums, starts[m][which], stop[m][which], np.full(len(which), depth, np.int64))
             more = length > depth
             single.append(np.stack([m[which][more], np.full(int(more.sum()), depth), length[more]], 1))
