@@ -14,7 +14,7 @@ from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillbase.llm.common import by_chars, texts_of, written
@@ -182,30 +182,63 @@ def bucket_pairs(rows: DataFrame, cap: int = CAP, distance: int = DISTANCE, near
     return ordered.mapInArrow(pair, "kind int, a long, b long, apart long, bits binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (``a, b``) whose shingle sets have at least this Jaccard similarity."""
-    pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
+    """Links ``a, b`` that join what the pairs (``a, b, apart``) of at least this Jaccard similarity join.
+
+    Pairs meet the sets of their members in groups: a connected group of candidates, or a pair of its blocks where it has more than
+    about ``block`` members. So a set is sent once for each group, not for each pair, and a group is bounded. In a group, nearer pairs come
+    first, and a pair whose ends are already joined is not looked at.
+    """
+    pairs = written(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "pairs")
+    members = written(components(pairs.select("a", "b")), "members")
+    large = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    placed = members.join(large, "component", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)), F.lit(0)))
+    one = placed.select(F.col("id").alias("a"), "component", F.col("block").alias("block_a"))
+    two = placed.select(F.col("id").alias("b"), F.col("block").alias("block_b"))
+    keyed = pairs.join(one, "a").join(two, "b")
+    keyed = written(keyed.select(F.xxhash64("component", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("key"), "a", "b", "apart"), "keyed")
+    wanted = keyed.select("key", F.col("a").alias("doc_id")).unionByName(keyed.select("key", F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches):
         for whole in batches:
             for batch in by_chars(whole, "text", 2_000_000):
                 found = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in text_shingles(batch.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "s"])
 
-    described = written(texts_of(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "sets")
+    # A document of several rows is described by each; any of them may be compared.
+    described = texts_of(docs).join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").dropDuplicates(["doc_id"])
 
     def compare(batches):
+        now, held, parent = None, {}, {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
         for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            links = []
+            for key, kind, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "a", "b", "s"))):
+                if key != now:
+                    now, held, parent = key, {}, {}
+                if kind == 0:
+                    held[a] = np.frombuffer(s, np.uint32)
+                    continue
+                p, q = root(a), root(b)
+                x, y = held[a], held[b]
+                if p == q or min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    parent[max(p, q)] = min(p, q)
+                    links.append((a, b))
+            columns = list(zip(*links)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], ["a", "b"])
 
-    one = pairs.join(described.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    return one.join(described.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    none = F.lit(None).cast("long")
+    rows = wanted.join(described, "doc_id").select("key", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), none.alias("b"), none.alias("apart"), "s")
+    rows = rows.unionByName(keyed.select("key", F.lit(1).alias("kind"), "a", "b", "apart", F.lit(None).cast("binary").alias("s")))
+    return rows.repartition("key").sortWithinPartitions("key", "kind", "apart", "a", "b").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, tables: int = TABLES, sampled: int = SAMPLED, cap: int = CAP, distance: int = DISTANCE) -> DataFrame:
@@ -221,22 +254,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, tables: int = TABL
     sets = facts.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("id"), F.min("bits").alias("bits"))
     sets = written(sets.select("id", "set1", "set2", "n", "bits"), "simhash-sets")
     found = written(bucket_pairs(bucket_rows(sets, tables, sampled), cap, distance), "simhash-pairs")
-    pairs = written(found.where("kind = 0").select("a", "b", "apart").distinct(), "candidates")
-    # At first the nearest candidates of each member; a member has at most NEAREST of them for each table.
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a")))
-    ranked = written(ranked, "ranked")
-    links = written(verified(ranked.where(F.col("rank") <= NEAREST).select("a", "b"), docs, similarity), "links")
-    # Then all others whose ends are in different classes.
-    labels = written(components(links), "labels")
+    links = written(verified(found.where("kind = 0").select("a", "b", "apart"), docs, similarity), "links")
     rest = found.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("id"), "bits")
-    labelled = rest.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = bucket_pairs(labelled.select("key", "id", "bits", "label"), 1 << 62, distance).where("kind = 0").select("a", "b")
-    one, two = (labels.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
-    others = ranked.where(F.col("rank") > NEAREST).select("a", "b").join(one, "a", "left").join(two, "b", "left")
-    others = others.where(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b")
-    more = written(more.unionByName(others), "later")
-    if not more.isEmpty():
-        links = written(links.unionByName(verified(more, docs, similarity)), "links")
+    if not rest.isEmpty():
+        # What large groups left for later: all candidates whose ends are in different classes.
+        labels = components(links)
+        labelled = rest.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        more = written(bucket_pairs(labelled.select("key", "id", "bits", "label"), 1 << 62, distance).where("kind = 0").select("a", "b", "apart"), "later")
+        if not more.isEmpty():
+            links = written(links.unionByName(verified(more, docs, similarity)), "links")
     same = facts.join(sets.select("set1", "set2", "n", "id"), ["set1", "set2", "n"]).select("doc_id", "id")
     twice = same.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
     labels = components(links.unionByName(twice))
