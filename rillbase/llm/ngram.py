@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from rillbase.llm.shingles import joined, mix, word_hashes, words
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens of a training text's start whose recurrence decides whether all of it is searched for, and those of the grams that tell.
 STEM, GRAM = 32, 8
+#: Bytes of text in a shard, about. A task takes some 25 bytes of memory for each.
+SHARD_BYTES = 14 << 20
 WEIGHT, GROWTH, ADD = 3.0, 0.9, 0.1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,7 +62,7 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _SHARD = "shard long, doc_ids array<long>, held array<boolean>, sizes array<int>, stems array<long>, marks array<long>, hashes binary, tokens binary"
 
 
-def shards_of(docs: DataFrame, most: int = 28 << 20) -> DataFrame:
+def shards_of(docs: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
     """The texts as token shards of about ``most`` bytes of text: a sorted table of distinct hashes and, for each token, its place in it."""
 
     def build(batches):
@@ -430,7 +433,7 @@ def _matched(sa: SuffixArray, q: dict) -> pa.RecordBatch:
     order = np.lexsort((depth, at))
     at, depth, count = at[order], depth[order], count[order]
     blob = b"".join((np.array([len(longest), len(at)], "<u4").tobytes(), planes(longest), planes(np.diff(at, prepend=0)), planes(depth), planes(count)))
-    return pa.RecordBatch.from_arrays([pa.array([q["shard"]]), pa.array([zlib.compress(blob, 1)], pa.binary())], ["shard", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([q["shard"]]), pa.array([zstandard.ZstdCompressor(level=1).compress(blob)], pa.binary())], ["shard", "blob"])
 
 
 class _Found:
@@ -438,9 +441,11 @@ class _Found:
 
     def __init__(self):
         self.longest, self.keys, self.counts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[tuple] = []
+        self.size = 0
 
     def add(self, blob: bytes) -> None:
-        raw = zlib.decompress(blob)
+        raw = zstandard.ZstdDecompressor().decompress(blob)
         n, k = np.frombuffer(raw[:8], "<u4").tolist()
         at = 8
         parts = []
@@ -448,11 +453,21 @@ class _Found:
             parts.append(unplanes(raw[at : at + 4 * size]))
             at += 4 * size
         self.longest = parts[0] if self.longest is None else np.maximum(self.longest, parts[0])
-        keys = np.concatenate((self.keys, (np.cumsum(parts[1]) << 32) | parts[2]))
+        self.waiting.append(((np.cumsum(parts[1]) << 32) | parts[2], parts[3]))
+        self.size += k
+        if self.size > 1_500_000:
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(w[0] for w in self.waiting)])
+        counts = np.concatenate([self.counts, *(w[1] for w in self.waiting)])
+        self.waiting, self.size = [], 0
         self.keys, inverse = np.unique(keys, return_inverse=True)
-        self.counts = np.bincount(inverse, np.concatenate((self.counts, parts[3])), len(self.keys)).astype(np.int64)
+        self.counts = np.bincount(inverse, counts, len(self.keys)).astype(np.int64)
 
     def count(self, start: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        if self.waiting:
+            self.merge()
         if not len(self.keys):
             return np.zeros(len(start), np.int64)
         key = (start << 32) | depth
@@ -494,7 +509,7 @@ def evidence(found: _Found, tokens: np.ndarray, once: np.ndarray, held: np.ndarr
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, weight: float = WEIGHT, growth: float = GROWTH, shard_bytes: int = 28 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, weight: float = WEIGHT, growth: float = GROWTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     A text whose ``crc32(doc_id) mod 10`` is 0 is held out, all others are training. Null texts are empty: one end token. A null id is held out.
