@@ -32,6 +32,8 @@ from rillbase.llm.shingles import joined, mix, word_hashes, words
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens of a training text's start whose recurrence decides whether all of it is searched for, and those of the grams that tell.
 STEM, GRAM = 32, 8
+#: Depths up to which a search uses keys of whole prefixes; beyond, few intervals are left.
+KEYED = 3
 #: Bytes of text in a shard, about. A task takes some 25 bytes of memory for each.
 SHARD_BYTES = 14 << 20
 WEIGHT, GROWTH, ADD = 3.0, 0.9, 0.1
@@ -215,6 +217,7 @@ class SuffixArray:
         self.order = np.argsort(rank, kind="stable").astype(small)
         del rank
         o = self.order
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         second = np.where(o + small(1) < self.stop[o], self.tokens[np.minimum(o + small(1), n - 1)] + small(1), small(0))
         #: The first two tokens of each suffix, in order: where a search begins.
         self.pairs = (self.tokens[o].astype(np.int64) << 32) + second
@@ -235,6 +238,26 @@ class SuffixArray:
         at = self.order[place] + depth
         return np.where(at < self.stop[self.order[place]], self.tokens[np.minimum(at, self.n - 1)] + 1, 0)
 
+    def level(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """A dense rank of each suffix by its first ``depth`` tokens, and the key of that rank and the next token; both ascend in the order."""
+        if depth not in self.levels:
+            if depth == 2:
+                before = self.pairs
+            else:
+                before = self.level(depth - 1)[1]
+            new = np.concatenate(([False], before[1:] != before[:-1]))
+            rank = np.cumsum(new, dtype=np.int32)
+            at = self.order + np.int32(depth)
+            after = np.where(at < self.stop[self.order], self.tokens[np.minimum(at, self.n - 1)] + np.int32(1), np.int32(0))
+            self.levels[depth] = rank, (rank.astype(np.int64) << 32) + after
+        return self.levels[depth]
+
+    def next_part(self, low: np.ndarray, depth: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts with ``wanted`` (+1) at ``depth`` of the intervals that begin at ``low`` and agree in ``depth`` tokens."""
+        rank, keys = self.level(depth)
+        key = (rank[low].astype(np.int64) << 32) + wanted
+        return np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+
     def narrow(self, low: np.ndarray, high: np.ndarray, depth: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The parts of the intervals whose suffixes have ``wanted`` (+1) at ``depth``, by binary search."""
         out = []
@@ -327,7 +350,7 @@ def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarra
         wanted = ids[starts[many] + depth] + 1
         known = wanted > 0
         many, wanted = many[known], wanted[known]
-        low, high = sa.narrow(low[known], high[known], depth, wanted)
+        low, high = sa.next_part(low[known], depth, wanted) if depth <= KEYED else sa.narrow(low[known], high[known], depth, wanted)
         depth += 1
     none = np.zeros((0, 3), np.int64)
     return np.concatenate(counted) if counted else none, np.concatenate(single) if single else none
@@ -363,18 +386,23 @@ def spread(counted: np.ndarray, single: np.ndarray, n: int, least: np.ndarray |
 _QUERY = "shard long, held array<boolean>, reach array<int>, hashes binary, tokens binary"
 
 
-def queries_of(shards: DataFrame) -> DataFrame:
+def queries_of(shards: DataFrame, place: str) -> DataFrame:
     """What is searched for, by home shard: held-out texts whole, training texts up to ``STEM`` + 1 tokens, or whole if what they begin with may recur."""
     stems = shards.select("shard", F.posexplode("stems").alias("at", "stem")).where("stem <> 0")
     again = shards.select(F.explode("marks").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stem")
-    whole = stems.join(again, "stem").groupBy("shard").agg(F.collect_list("at").alias("whole"))
+    stems.join(again, "stem").groupBy("shard").agg(F.collect_list("at").alias("whole")).write.option("compression", "zstd").parquet(place)
 
     def cut(batches):
+        # A shard looks its own row up, so that token rows need not be exchanged.
+        fs, base = pafs.FileSystem.from_uri(place) if "://" in place else (pafs.LocalFileSystem(), place)
+        listed = pads.dataset(base, schema=pa.schema([("shard", pa.int64()), ("whole", pa.list_(pa.int32()))]), filesystem=fs, format="parquet")
         for batch in batches:
             for row in batch.to_pylist():
+                own = listed.to_table(filter=pc.field("shard") == row["shard"]).column("whole").to_pylist()
+                row["whole"] = own[0] if own else []
                 held, sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
                 full = held.copy()
-                full[row["whole"] or []] = True
+                full[row["whole"]] = True
                 reach = np.where(full, sizes, np.minimum(sizes, STEM + 1))
                 begins = np.cumsum(sizes) - sizes
                 taken = np.repeat(begins - np.cumsum(reach) + reach, reach) + np.arange(int(reach.sum()))
@@ -385,8 +413,7 @@ def queries_of(shards: DataFrame) -> DataFrame:
                     ["shard", "held", "reach", "hashes", "tokens"],
                 )
 
-    rows = shards.select("shard", "held", "sizes", "hashes", "tokens").join(whole, "shard", "left")
-    return rows.mapInArrow(cut, _QUERY)
+    return shards.select("shard", "held", "sizes", "hashes", "tokens").mapInArrow(cut, _QUERY)
 
 
 def _starts(held: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -525,7 +552,7 @@ def score_texts(docs: DataFrame, weight: float = WEIGHT, growth: float = GROWTH,
     once = spark.read.schema("shard long, bucket long, counts binary, types long, total long").parquet(f"{place}/unigrams")
     types, total = (int(x or 0) for x in once.agg(F.sum("types"), F.sum("total")).first())
     buckets = min(4096, max(8, 2 * n))
-    queries_of(shards).write.option("compression", "zstd").parquet(f"{place}/queries")
+    queries_of(shards, f"{place}/whole").write.option("compression", "zstd").parquet(f"{place}/queries")
     asked = spark.read.schema(_QUERY).parquet(f"{place}/queries")
     found = matches(shards, f"{place}/queries")
     rows = shards.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("bucket"), "doc_ids", "held", "sizes", "hashes", "tokens")
