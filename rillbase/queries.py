@@ -475,7 +475,17 @@ def st_unmerge(t: Tables) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, printf('%.4f', l_quantity * (l_extendedprice - 1) / 2 + -l_tax) AS price, printf('%.4f', CAST(CAST(l_quantity AS BIGINT) % 7 AS DOUBLE)) AS l_quantity,
           printf('%.4f', 0.0::DOUBLE) AS none FROM lineitem WHERE l_orderkey < 500""")
 def fn_compute(t: Tables) -> DataFrame:
-    df = t.lineitem.where("l_orderkey < 500")
+    """The rows that its SQL names; ``fn_compute_all`` is the whole table."""
+    return _computed(t.lineitem.where("l_orderkey < 500"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, printf('%.4f', l_quantity * (l_extendedprice - 1) / 2 + -l_tax) AS price, printf('%.4f', CAST(CAST(l_quantity AS BIGINT) % 7 AS DOUBLE)) AS l_quantity,
+          printf('%.4f', 0.0::DOUBLE) AS none FROM lineitem""")
+def fn_compute_all(t: Tables) -> DataFrame:
+    return _computed(t.lineitem)
+
+
+def _computed(df: DataFrame) -> DataFrame:
     out = scalar.compute(df, "%.4f", price="l_quantity * (l_extendedprice - 1) / 2 + -l_tax", l_quantity="l_quantity % 7", none="l_quantity / (l_tax - l_tax)")
     return out.select("l_orderkey", "l_linenumber", "price", "l_quantity", "none")
 
