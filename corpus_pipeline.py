@@ -29,11 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes that an earlier document has go; so do documents of which nothing is left."""
-    left = suffixes.remove_repeats(docs, texts=True).where("doc_id is not null").select("doc_id", F.col("text").alias("left"), "n_removed")
-    joined = docs.drop("text").join(left.dropDuplicates(["doc_id"]), "doc_id")
-    kept = joined.where("n_removed = 0 or left <> ''")
-    return kept.select("doc_id", F.col("left").alias("text"), "lang", "source", F.length("left").cast("long").alias("n_chars"))
+    """Strings of 100 bytes that an earlier document has go; so do documents of which nothing is left. Each row keeps its own
+    remaining text, also where ids are null or repeat."""
+    left = suffixes.remove_repeats(docs, texts=True, more=("lang", "source"))
+    return left.where("n_removed = 0 or text <> ''").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

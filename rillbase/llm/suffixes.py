@@ -381,7 +381,7 @@ def _sorted_shards(pieces: DataFrame, width: int, most: int = 1 << 17) -> DataFr
     return pieces.repartition("key").sortWithinPartitions("key", "piece", "doc", "begin").mapInArrow(spans, _ROW)
 
 
-def _rewritten(docs: DataFrame, spans: DataFrame, texts: bool) -> DataFrame:
+def _rewritten(docs: DataFrame, spans: DataFrame, texts: bool, more: tuple[str, ...] = ()) -> DataFrame:
     lists = spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
     def cut(batches):
@@ -403,34 +403,35 @@ def _rewritten(docs: DataFrame, spans: DataFrame, texts: bool) -> DataFrame:
                 out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if texts else [])))
             kinds = [pa.int64()] * 3 + [pa.string()] * (1 + texts)
             columns = list(zip(*out)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds)), *(batch.column(c) for c in more)], names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if texts else [])]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if texts else []), *more]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * texts
-    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "spans", *more).mapInArrow(cut, schema)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, hot: int = 2048, step: int = 4) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``; with ``texts`` also what is left, as ``text``.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, hot: int = 2048, step: int = 4, more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``; with ``texts`` also what is left, as ``text``; and its columns in ``more``.
 
     A byte goes if a ``width``-byte string over it also starts earlier, in a row of a smaller ``doc_id`` or before it in the
     same text. Null texts are empty. Where ids are null or repeat, rows are documents of their own in the order of ``doc_id`` (nulls
     first) and text. In ``text``, a character that a cut runs through is left out. Other columns are ignored. An empty table gives an empty one.
     ``hot``: fragments of one anchor beyond which its windows are keyed by ``step`` places; results don't depend on either.
     """
-    docs = texts_of(docs)
+    docs = texts_of(docs, *more)
     total = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id"), F.sum(F.octet_length("text"))).first()
     told = docs
     plain = total[0] == total[1] == total[2] and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int")
     if not plain:
         ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
         told = written(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        docs = told.select(F.col("_row").alias("doc_id"), "text")
+        docs = told.select(F.col("_row").alias("doc_id"), "text", *more)
     buckets = max(8, int((total[3] or 0) // (16 << 20)))
     matched = written(_matched(_anchors(docs, buckets, width), width, hot), "anchors")
     pieces = _texts(matched.where("kind = 2"), docs, width, step)
     spans = written(_sorted_shards(pieces, width).select("doc", "begin", "end"), "spans").unionByName(matched.where("kind = 0").select("doc", "begin", "end"))
-    out = _rewritten(docs, spans, texts)
+    out = _rewritten(docs, spans, texts, more)
     if not plain:
         out = out.withColumnRenamed("doc_id", "_row").join(told.select("_row", "doc_id"), "_row").select("doc_id", *out.columns[1:])
     return out
