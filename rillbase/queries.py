@@ -200,6 +200,14 @@ def jn_date(t: Tables) -> DataFrame:
     return retrieve({"e": e, "orders": t.orders}, "event_id o_orderkey", "day fD= o_orderdate and o_orderstatus = P and user_id lt 5")
 
 
+@query("""SELECT event_id, o_orderkey FROM (SELECT *, CAST(ts AS DATE) - INTERVAL 25 YEAR AS d FROM events) JOIN orders ON CAST(d AS DATE) = CAST(o_orderdate AS DATE)
+          WHERE o_orderstatus = 'P'""")
+def jn_date_all(t: Tables) -> DataFrame:
+    """``jn_date`` over the events of all users."""
+    e = t.events.select("event_id", F.date_format(F.col("ts") - F.expr("INTERVAL 25 YEAR"), "M-d-yyyy H:mm").alias("day"))
+    return retrieve({"e": e, "orders": t.orders}, "event_id o_orderkey", "day fD= o_orderdate and o_orderstatus = P")
+
+
 @query("SELECT a.p_partkey AS pa, b.p_partkey AS pb FROM part a JOIN part b ON a.p_retailprice < b.p_retailprice WHERE a.p_size = 1 AND b.p_size = 2")
 def jn_theta(t: Tables) -> DataFrame:
     return retrieve([("a", t.part), ("b", t.part)], ["1.p_partkey as pa", "2.p_partkey as pb"], "1.p_retailprice fn< 2.p_retailprice and 1.p_size eq 1 and 2.p_size eq 2")
@@ -239,6 +247,12 @@ def jn_anti_theta(t: Tables) -> DataFrame:
     return retrieve([("a", t.part), ("b", t.part)], "1.p_partkey", "1.p_retailprice f-n< 2.p_retailprice and 1.p_size eq 3 and 2.p_size eq 4 and 2.p_partkey lt 500")
 
 
+@query("SELECT p_partkey FROM part a WHERE p_size = 3 AND NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size = 4 AND b.p_type = 'PROMO' AND a.p_retailprice < b.p_retailprice)")
+def jn_anti_theta_type(t: Tables) -> DataFrame:
+    """``jn_anti_theta`` against a share of the parts that grows with the table."""
+    return retrieve([("a", t.part), ("b", t.part)], "1.p_partkey", "1.p_retailprice f-n< 2.p_retailprice and 1.p_size eq 3 and 2.p_size eq 4 and 2.p_type = PROMO")
+
+
 @query("SELECT c_name, n_name, r_name, o_orderkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN orders ON c_custkey = o_custkey WHERE r_name = 'ASIA' AND o_totalprice > 300000")
 def jn_nway(t: Tables) -> DataFrame:
     return retrieve(

@@ -9,3 +9,9 @@ def test_compute_covers_the_whole_table(spark):
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey", "l_linenumber")
     found = queries.QUERIES["fn_compute_all"](spark, FOLDER).select("l_orderkey", "l_linenumber")
     assert sorted(found.collect()) == sorted(lines.collect())
+
+
+def test_date_join_takes_all_users(spark):
+    found = queries.QUERIES["jn_date_all"](spark, FOLDER).select("event_id").distinct()
+    users = spark.read.parquet(f"{FOLDER}/events.parquet").join(found, "event_id").agg({"user_id": "max"}).first()[0]
+    assert users >= 5
