@@ -57,8 +57,10 @@ def read_inline(spark: SparkSession, path: str, policy: str = "drop") -> DataFra
         raise ValueError(f"{path} has no description at its head")
     end = head.index("%enddescription")
     lines = spark.read.text(path)
-    # The lines of the description are told by their text, since a scan has no order.
-    return records(lines.where(~F.col("value").isin(head[: end + 1])), read_descriptor("\n".join(head[1:end])), policy=policy)
+    # A scan has no order, so each line of the description goes once by its text; equal lines beyond that are records.
+    described, alike = spark.createDataFrame([(x,) for x in head[: end + 1]], "value string"), F.col("value").isin(head[: end + 1])
+    kept = lines.where(~alike).unionByName(lines.where(alike).exceptAll(described))
+    return records(kept, read_descriptor("\n".join(head[1:end])), policy=policy)
 
 
 def to_lines(df: DataFrame, descriptor: Descriptor | None = None, delimiter: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries and readers see every row that they should."""
 
 from rillbase import queries
+from rillbase.sources import flatfile
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,3 +16,10 @@ def test_date_join_takes_all_users(spark):
     found = queries.QUERIES["jn_date_all"](spark, FOLDER).select("event_id").distinct()
     users = spark.read.parquet(f"{FOLDER}/events.parquet").join(found, "event_id").agg({"user_id": "max"}).first()[0]
     assert users >= 5
+
+
+def test_a_record_like_a_line_of_the_description_stays(spark, tmp_path):
+    head = ["%description", "name\tt:", "city\tt\\n", "%enddescription"]
+    (tmp_path / "inline").write_text("\n".join([*head, "x:rome", head[1], "%enddescription", "x:oslo"]) + "\n")
+    found = flatfile.read_inline(spark, f"file://{tmp_path}/inline", "permissive")
+    assert sorted((r.name, r.city, r._malformed) for r in found.collect()) == [("", "", True), ("name\tt", "", False), ("x", "oslo", False), ("x", "rome", False)]
