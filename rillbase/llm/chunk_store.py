@@ -6,11 +6,11 @@ once. A store is a folder:
 * ``packs/``: files of chunks, each chunk the little-endian ids compressed with zstd;
 * ``recipes/``: Parquet in ascending ``doc_id``: ``doc_id, start, n_tokens, root, part`` and for each chunk
   of the document its pack, offset, stored bytes and digest;
-* ``manifest/``: Parquet, one row for each part of the recipes: its document count, its ids and its Merkle root.
+* ``manifest/``: Parquet, ``level, part, n, root``: on level 0 a row for each part of the recipes with its documents, on the
+  levels above one for each ``FAN`` nodes of the level below, up to the single root of the store.
 
-A document's root is the Merkle root of its chunk digests; a part's root is over its documents' roots.
-Reading checks every chunk against its digest, every document against its root and every part
-against the manifest.
+A document's root is the Merkle root of its chunk digests; a part's root is over its documents' roots, and so on upwards.
+Reading checks every chunk against its digest, every document against its root and every node against the manifest.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import zstandard
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillbase.llm.common import by_chars, shared_place, texts_of, written
@@ -34,6 +34,8 @@ from rillbase.llm.units import default_path, encoder
 LEAST, MEAN, MOST, SPAN = 128, 512, 4096, 16
 #: Documents of a part of the recipes, about; a part is read by one task.
 PART_DOCS = 16_000
+#: Nodes that a node of the manifest is over at most.
+FAN = 4096
 _GEAR = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
@@ -41,22 +43,24 @@ def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ``ids``: where the rolling hash of the last ``SPAN`` ids has its highest bits clear, ``LEAST`` to ``MOST`` ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """The places after which the rolling hash of the last ``SPAN`` ids has its highest bits clear."""
     with np.errstate(over="ignore"):
-        g = _GEAR[ids & np.uint32(0xFFFF)] + (ids >> np.uint32(16)).astype(np.uint64)
+        g = _GEAR[ids & ids.dtype.type(0xFFFF)] + (ids.astype(np.uint32) >> np.uint32(16)).astype(np.uint64)
         for step in (1, 2, 4, 8):  # SPAN of 16 by doubling
             g = np.concatenate((g[:step], g[step:] + (g[:-step] << np.uint64(step))))
-    marks = np.flatnonzero(g >> np.uint64(64 - (MEAN - 1).bit_length()) == 0) + 1
-    ends, last = [], 0
-    for m in [*marks.tolist(), n]:
+    return np.flatnonzero(g >> np.uint64(64 - (MEAN - 1).bit_length()) == 0) + 1
+
+
+def boundaries(begin: int, end: int, places: list[int]) -> list[int]:
+    """Ends of the chunks of a document from ``begin`` to ``end`` of a stream with marks at ``places`` (those in the document), ``LEAST`` to
+    ``MOST`` ids apart. A mark counts only where its whole span is in the document, since that is shorter than ``LEAST``."""
+    ends, last = [], begin
+    for m in [*places, end]:
         while m - last > MOST:
             last += MOST
             ends.append(last)
-        if m - last >= LEAST or (m == n and m > last):
+        if m - last >= LEAST or (m == end and m > last):
             ends.append(m)
             last = m
     return ends
@@ -86,11 +90,14 @@ def _staged(docs: DataFrame, path: str, end_id: int, packs: str) -> DataFrame:
             for whole in batches:
                 for batch in by_chars(whole, "text"):
                     rows = []
-                    for doc, raw in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
-                        ids = np.append(np.frombuffer(raw, encode.dtype), encode.dtype.type(end_id))
-                        digests, offsets, sizes, last = [], [], [], 0
-                        for end in boundaries(ids.astype(np.uint32)):
-                            plain = ids[last:end].tobytes()
+                    ids, edges = encode.ended(batch.column("text"), end_id)
+                    stream, places, width = ids.tobytes(), marks(ids), ids.itemsize
+                    cuts = np.searchsorted(places, edges, side="right").tolist()
+                    places = places.tolist()
+                    for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                        digests, offsets, sizes, last = [], [], [], edges[i]
+                        for end in boundaries(edges[i], edges[i + 1], places[cuts[i] : cuts[i + 1]]):
+                            plain = stream[last * width : end * width]
                             last = end
                             digest = hashlib.sha256(plain).digest()[:20]
                             if digest not in seen:
@@ -101,7 +108,7 @@ def _staged(docs: DataFrame, path: str, end_id: int, packs: str) -> DataFrame:
                                 seen[digest] = (at, len(packed))
                                 at += len(packed)
                             digests.append(digest), offsets.append(seen[digest][0]), sizes.append(seen[digest][1])
-                        rows.append((doc, len(ids), name, digests, offsets, sizes))
+                        rows.append((doc, edges[i + 1] - edges[i], name, digests, offsets, sizes))
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], ["doc_id", "n_tokens", "pack", "digests", "offsets", "sizes"])
 
@@ -135,8 +142,9 @@ def _compacted(owned: DataFrame, source: str, target: str) -> DataFrame:
 def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: int = 2) -> None:
     """Write the store of ``docs`` (``doc_id`` long, ``text``) at ``place``. Null texts are empty: one chunk with the end id.
 
-    Rows that share a ``doc_id`` stay rows of their own, in the order of their chunk digests; null ids come first. Chunks meet by digest only:
-    no payload is exchanged, and a chunk of a third of all documents is one index row for each task before the exchange.
+    Rows that share a ``doc_id`` stay rows of their own, in the order of their chunk digests; null ids come first. An empty table gives an
+    empty store. A very long text is many chunks; other columns are ignored, whatever their names. Chunks meet by digest only: no payload is
+    exchanged, and a chunk of a third of all documents is one index row for each task before the exchange.
     """
     spark = docs.sparkSession
     staging = shared_place(spark, "packs")
@@ -144,8 +152,8 @@ def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: in
     places = staged.select(F.explode(F.arrays_zip("digests", "offsets", "sizes")).alias("c"), "pack")
     first = places.groupBy(F.col("c.digests").alias("digest")).agg(F.min(F.struct("pack", F.col("c.offsets").alias("offset"), F.col("c.sizes").alias("size"))).alias("at"))
     moved = written(_compacted(first.select("digest", "at.*"), staging, f"{place}/packs"), "chunks")
-    fs, base = _filesystem(staging)
-    fs.delete_dir(base)
+    _drop_packs(staging, set())
+    _drop_packs(f"{place}/packs", {r.pack for r in moved.select("pack").distinct().collect()})  # a name for each task
     order = [F.col("doc_id").asc_nulls_first(), F.col("digests")]
     n = max(1, staged.count() // PART_DOCS)
     ranged = staged.select("doc_id", "n_tokens", "digests").repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -167,13 +175,36 @@ def write_store(docs: DataFrame, place: str, path: str | None = None, end_id: in
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in recipes.schema) + ", root binary"
     recipes.mapInArrow(rooted, schema).repartitionByRange(n, "row").sortWithinPartitions("row").write.option("compression", "zstd").parquet(f"{place}/recipes")
-    _part_roots(spark.read.parquet(f"{place}/recipes")).write.parquet(f"{place}/manifest")
+    _manifest(spark.read.parquet(f"{place}/recipes")).write.parquet(f"{place}/manifest")
+
+
+def _drop_packs(place: str, kept: set[str]) -> None:
+    """Delete the packs at ``place`` that are not ``kept``: those of a store being made, or of attempts that were lost."""
+    fs, base = _filesystem(place)
+    for file in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if file.base_name not in kept:
+            fs.delete_file(file.path)
+
+
+def _manifest(rows: DataFrame) -> DataFrame:
+    """``level, part, n, root`` of rows with ``part, row, root``. A node is over a bounded number of others, so no task or driver has them all."""
+
+    def root(batches):
+        for batch in batches:
+            roots = [merkle([leaf["root"] for leaf in leaves]) for leaves in batch.column("leaves").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("n"), pa.array(roots, pa.binary())], ["part", "n", "root"])
 
+    def above(nodes: DataFrame, part: Column) -> DataFrame:
+        leaves = F.sort_array(F.collect_list(F.struct("row", "root"))).alias("leaves")
+        return nodes.groupBy(part.cast("long").alias("part")).agg(leaves, F.count(F.lit(1)).alias("n")).mapInArrow(root, "part long, n long, root binary")
 
-def _part_roots(rows: DataFrame) -> DataFrame:
-    """``part, docs, first, last, root`` of rows with ``part, row, doc_id, root``; a part has a bounded number of documents."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("row", "root"))), lambda r: F.hex(r["root"]))
-    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sha2(F.array_join(listed, ""), 256).alias("root"))
+    level = written(above(rows, F.col("part")), "manifest")
+    out, k = level.select(F.lit(0).alias("level"), "part", "n", "root"), 0
+    while level.count() > 1:
+        k += 1
+        level = written(above(level.withColumnRenamed("part", "row"), F.floor(F.col("row") / FAN)), "manifest")
+        out = out.unionByName(level.select(F.lit(k).alias("level"), "part", "n", "root"))
+    return out
 
 
 def read_store(spark, place: str, ids: bool = False, wide: bool = False) -> DataFrame:
@@ -206,7 +237,7 @@ def read_store(spark, place: str, ids: bool = False, wide: bool = False) -> Data
                     plain.append(decompress(file.read(c["size"])))
                     if hashlib.sha256(plain[-1]).digest()[:20] != c["digest"]:
                         raise ValueError(f"a chunk of document {doc} isn't the one its recipe names")
-                if merkle([hashlib.sha256(p).digest()[:20] for p in plain]) != root:
+                if merkle([c["digest"] for c in every[ends[i - 1] if i else 0 : ends[i]]]) != root:  # these are the plain chunks' own, as just seen
                     raise ValueError(f"document {doc} doesn't have the root that its recipe names")
                 found = np.frombuffer(b"".join(plain), dtype).astype("<u4")
                 if len(found) != n:
@@ -225,8 +256,8 @@ def round_trip(docs: DataFrame, path: str | None = None, end_id: int = 2) -> Dat
     place = shared_place(spark, "store")
     write_store(docs, place, path, end_id)
     read = written(read_store(spark, place, wide=encoder(path).dtype.itemsize == 4), "read")
-    parts, told = _part_roots(read), spark.read.parquet(f"{place}/manifest")
-    odd = parts.join(told.select("part", "docs", F.col("root").alias("told")), ["part", "docs"], "full").where(~F.col("root").eqNullSafe(F.col("told")))
+    told = spark.read.parquet(f"{place}/manifest").withColumnRenamed("root", "told")
+    odd = _manifest(read).join(told, ["level", "part", "n"], "full").where(~F.col("root").eqNullSafe(F.col("told")))
     if not odd.isEmpty():
         raise ValueError("the documents read aren't those of the manifest")
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")

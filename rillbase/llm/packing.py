@@ -65,7 +65,7 @@ class Packer:
         for at in range(0, whole, self.capacity):
             self._close([(doc, at, ids[at : at + self.capacity], total)])
         if whole < total:
-            self._put((doc, whole, ids[whole:], total))
+            self._put((doc, whole, ids[whole:].copy(), total))  # what waits holds no whole batch
             if self.n >= self.pending:
                 self._pack(self.pending // 4)
 
@@ -127,7 +127,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
     Each task packs the documents of its partition as they stream by, so nothing is exchanged and
     a task holds one batch and a bounded number of remainders. ``sequence_id`` has the partition
     in its upper bits; scan partitions are the same on a retry, and so are the pieces.
-    A null or empty text is the end id alone. Repeated rows are packed each; an empty table has no pieces.
+    A null or empty text is the end id alone. Repeated rows and rows with null ids are packed each; an empty table has no pieces. A very
+    long text is whole windows, wherever it ends. Other columns are ignored, whatever their names.
     """
     path = path or default_path()
     docs = texts_of(docs)
@@ -147,8 +148,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
         for whole in batches:
             id_type = whole.schema.field("doc_id").type
             for batch in by_chars(whole, "text"):
-                for doc, raw in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
-                    packer.add(doc, np.append(np.frombuffer(raw, encode.dtype), encode.dtype.type(end_id)))
+                ids, edges = encode.ended(batch.column("text"), end_id)
+                for doc, a, b in zip(batch.column("doc_id").to_pylist(), edges, edges[1:]):
+                    packer.add(doc, ids[a:b])
                 if packer.out:
                     yield rows()
         packer.finish()

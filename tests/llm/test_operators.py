@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,19 @@ def test_packing(docs, corpus):
         assert at == 1024 or at < 1024 and at & (at - 1) == 0
 
 
+def test_packing_pads_nothing_and_takes_odd_rows(spark):
+    rng = random.Random(12)
+    rows = [(i, some_text(rng, rng.randrange(1, 500))) for i in range(300)] + [(None, "same"), (None, "same"), (7, "same"), (400, None), (400, "")]
+    frame = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, start string, length int").repartition(2)
+    pieces = packing.pack_documents(frame).collect()
+    assert sum(p.length for p in pieces) == sum(len(brute.encoded(t)) + 1 for _, t in rows)
+    sizes = {}
+    for p in pieces:
+        sizes[p.sequence_id] = sizes.get(p.sequence_id, 0) + p.length
+    assert sum(n == 1024 for n in sizes.values()) >= len(sizes) - 2 * 10 and all(n == 1024 or n & (n - 1) == 0 for n in sizes.values())
+    assert packing.pack_documents(frame.limit(0)).count() == 0
+
+
 def test_best_multiset():
     rng = random.Random(3)
     for _ in range(200):
@@ -192,9 +206,40 @@ def test_chunks_are_stored_once_and_verified(spark, docs):
 
 def test_boundaries_follow_content():
     ids = np.random.default_rng(0).integers(0, 50_000, 30_000).astype(np.uint32)
-    one, two = set(chunk_store.boundaries(ids)), {e - 7 for e in chunk_store.boundaries(np.concatenate((np.arange(7, dtype=np.uint32), ids)))}
+    cut = lambda x: chunk_store.boundaries(0, len(x), chunk_store.marks(x).tolist())
+    one, two = set(cut(ids)), {e - 7 for e in cut(np.concatenate((np.arange(7, dtype=np.uint32), ids)))}
     assert len(one & two) > 0.8 * len(one)
-    assert chunk_store.boundaries(ids)[-1] == 30_000 and chunk_store.boundaries(ids[:0]) == []
+    assert cut(ids)[-1] == 30_000 and cut(ids[:0]) == []
+    assert all(b - a <= chunk_store.MOST for a, b in zip([0, *cut(np.zeros(20_000, np.uint16))], cut(np.zeros(20_000, np.uint16))))
+
+
+def test_chunk_store_of_odd_tables(spark, docs):
+    rows = [(None, "one two"), (3, "x" * 50_000), (3, "x" * 50_000), (3, "other"), (1, None), (2, "")]
+    frame = spark.createDataFrame([(*r, "clash", b"clash") for r in rows], "doc_id long, text string, pack string, digests binary")
+    found = chunk_store.round_trip(frame).orderBy("start").collect()
+    told = {}
+    for i, text in rows:
+        ids = np.array([*brute.encoded(text), 2], "<u4")
+        told.setdefault(i, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    assert [r.doc_id for r in found] == [None, 1, 2, 3, 3, 3]
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1].tolist()]
+    for i, known in told.items():
+        assert sorted((r.n_tokens, r.ids_crc32) for r in found if r.doc_id == i) == sorted(known)
+    assert chunk_store.round_trip(docs.limit(0)).count() == 0
+
+
+def test_manifest_has_one_root(spark, docs, monkeypatch):
+    monkeypatch.setattr(chunk_store, "PART_DOCS", 4)
+    monkeypatch.setattr(chunk_store, "FAN", 3)
+    place = shared_place(spark, "store")
+    chunk_store.write_store(docs, place)
+    nodes = spark.read.parquet(f"{place}/manifest").collect()
+    levels = {k: [r for r in nodes if r.level == k] for k in {r.level for r in nodes}}
+    assert len(levels) > 2 and len(levels[max(levels)]) == 1 and all(r.n <= 3 for r in nodes if r.level)
+    for k in range(1, len(levels)):
+        below = {r.part: bytes(r.root) for r in levels[k - 1]}
+        for r in levels[k]:
+            assert bytes(r.root) == chunk_store.merkle([below[p] for p in sorted(below) if p // 3 == r.part])
 
 
 # 5
@@ -305,10 +350,46 @@ def test_token_counts(docs, corpus):
     assert token_counts.token_counts(frame.limit(0)).count() == 0
 
 
-def test_units_with_a_small_cache(corpus):
-    encode = units.UnitEncoder(units.default_path(), most=50)
-    texts = [t or "" for _, t in corpus]
-    assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts)] == [brute.encoded(t) for t in texts]
+ODD = ["a", " ", "  ", "\n", "foo", "é", "'s", "'", "don't", "\u00a0", "\u3000", "\u2003", "<|endoftext|>", "<|", "3", "...", ",", "\x1c", "\x85", "\t", "\r\n", "漢字", "Ω", "_", "#"]
+
+
+@pytest.mark.parametrize("most", [50, 500_000])
+def test_units_are_those_of_the_library(corpus, most):
+    rng = random.Random(9)
+    texts = [t or "" for _, t in corpus] + ["".join(rng.choices(ODD, k=rng.randrange(25))) for _ in range(3000)] + ["x" * 1_200_000 + " y", "ab, " * 300_000]
+    encode, count = units.UnitEncoder(units.default_path(), most=most), units.UnitEncoder(units.default_path(), counts=True, frequent=([b" foo", b"a"], [1, 1]), most=most)
+    for i in range(0, len(texts), 500):
+        told = [brute.encoded(t) for t in texts[i : i + 500]]
+        lengths, ids = encode(pa.array(texts[i : i + 500]))
+        assert lengths.tolist() == [len(t) for t in told] and ids.tolist() == [x for t in told for x in t]
+        assert count(pa.array(texts[i : i + 500]))[0].tolist() == lengths.tolist()
+
+
+def test_units_whose_hashes_collide(corpus, monkeypatch):
+    monkeypatch.setattr(units.UnitEncoder, "_hashes", staticmethod(lambda buf, starts, ends: (ends - starts).astype(np.uint64)))
+    encode = units.UnitEncoder(units.default_path())
+    for _, text in corpus[6:30] + corpus[6:30]:
+        assert encode(pa.array([text]))[1].tolist() == brute.encoded(text)
+
+
+def test_token_counts_of_other_tokenizers(spark, corpus):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    frame = spark.createDataFrame(corpus[:40], "doc_id long, text string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    plain = SentencePieceProcessor(model_file=path)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame, path).collect()} == {i: len(plain.encode(t or "")) for i, t in corpus[:40]}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame, path).collect()} == {i: len(other.encode(t or "", add_special_tokens=False).ids) for i, t in corpus[:40]}
+
+
+def test_token_counts_with_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (1, "one two"), (1, "three"), (1, "three"), (2, None)]
+    found = token_counts.token_counts(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_tokens int")).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_tokens) for r in found))) == sorted(map(repr, ((i, len(brute.encoded(t))) for i, t in rows)))
 
 
 # 9
