@@ -14,6 +14,7 @@ all that comes before a token, since the text itself is in training; so only its
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -34,8 +35,8 @@ END = np.uint64(0x9E3779B97F4A7C15)
 STEM, GRAM = 32, 8
 #: Depths up to which a search uses keys of whole prefixes; beyond, few intervals are left.
 KEYED = 3
-#: Bytes of text in a shard, about. A task takes some 25 bytes of memory for each.
-SHARD_BYTES = 14 << 20
+#: Bytes of text in a shard, about. A task takes some 15 bytes of memory for each.
+SHARD_BYTES = 28 << 20
 WEIGHT, GROWTH, ADD = 3.0, 0.9, 0.1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -61,26 +62,59 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, firsts[1:], END), np.diff(firsts) + 1
 
 
-_SHARD = "shard long, doc_ids array<long>, held array<boolean>, sizes array<int>, stems array<long>, marks array<long>, hashes binary, tokens binary"
+_SHARD = "shard long, name string, stems array<long>, marks array<long>"
 
 
-def shards_of(docs: DataFrame, most: int = SHARD_BYTES) -> DataFrame:
-    """The texts as token shards of about ``most`` bytes of text: a sorted table of distinct hashes and, for each token, its place in it."""
+def _filesystem(place: str):
+    return pafs.FileSystem.from_uri(place) if "://" in place else (pafs.LocalFileSystem(), place)
+
+
+def _save(place: str, columns: dict[str, pa.Array]) -> str:
+    """Write arrays of any lengths to a file of a new name at ``place``. Token rows go from task to task in such files: they are too large to pass
+    through the rows of a table, which only name them. Files of lost attempts are named by no row."""
+    fs, base = _filesystem(place)
+    fs.create_dir(base, recursive=True)
+    name = f"{uuid.uuid4().hex}.arrow"
+    lists = [pa.array([v], pa.list_(v.type)) if not pa.types.is_binary(v.type) else v for v in columns.values()]
+    batch = pa.RecordBatch.from_arrays(lists, list(columns))
+    with fs.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return name
+
+
+def _load(place: str, name: str) -> dict:
+    """The arrays of such a file: numpy arrays, and bytes where binary."""
+    fs, base = _filesystem(place)
+    with fs.open_input_file(f"{base}/{name}") as file, pa.ipc.open_stream(file) as reader:
+        batch = reader.read_next_batch()
+    out = {}
+    for k in batch.schema.names:
+        column = batch.column(k)
+        if pa.types.is_binary(column.type):
+            out[k] = column[0].as_py()
+        else:
+            out[k] = column.flatten() if k == "doc_ids" else column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def shards_of(docs: DataFrame, place: str, most: int = SHARD_BYTES) -> DataFrame:
+    """The texts as token shards of about ``most`` bytes of text, in files at ``place``: a sorted table of distinct hashes and, for each token, its place in it."""
 
     def build(batches):
         held, size, number = [], 0, TaskContext.get().partitionId() << 20
 
         def flush():
             hashes, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-            sizes = np.concatenate([h[1] for h in held])
-            ids = [i for h in held for i in h[0]]
-            out = [o for h in held for o in h[5]]
+            trained = np.array([not o for h in held for o in h[5]], bool)
+            name = _save(
+                place,
+                {
+                    "doc_ids": pa.array([i for h in held for i in h[0]], pa.int64()), "held": pa.array(~trained),
+                    "sizes": pa.array(np.concatenate([h[1] for h in held]).astype(np.int64)), "hashes": pa.array([hashes.tobytes()], pa.binary()), "tokens": pa.array([planes(tokens)], pa.binary()),
+                },
+            )
             stems, marks = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-            arrays = [
-                pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.bool_())), pa.array([sizes.tolist()], pa.list_(pa.int32())),
-                pa.array([stems.tolist()], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.int64())), pa.array([hashes.tobytes()], pa.binary()), pa.array([planes(tokens)], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _SHARD.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([name]), pa.array([stems], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.int64()))], ["shard", "name", "stems", "marks"])
 
         for whole in batches:
             for batch in by_chars(whole, "text", 2_000_000):
@@ -129,18 +163,19 @@ def marks_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text[places], h[places].astype(np.int64), stems
 
 
-def unigrams(shards: DataFrame, buckets: int) -> DataFrame:
+def unigrams(shards: DataFrame, place: str, buckets: int) -> DataFrame:
     """``shard, bucket, counts`` (training counts of the shard's hashes in the bucket, in their order) and, once for each bucket, ``types, total``."""
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for shard, name in zip(batch.column("shard").to_pylist(), batch.column("name").to_pylist()):
+                row = _load(place, name)
                 hashes, counts = np.frombuffer(row["hashes"], np.uint64), _train_counts(row)
                 bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
                 blobs = [(hashes[order[a:b]].tobytes(), planes(counts[order[a:b]])) for a, b in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * buckets), pa.array(np.arange(buckets)), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], ["shard", "bucket", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * buckets), pa.array(np.arange(buckets)), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], ["shard", "bucket", "hashes", "counts"])
 
     def answer(batches):
         held, now = [], None
@@ -168,12 +203,12 @@ def unigrams(shards: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from close()
 
-    asked = shards.select("shard", "doc_ids", "held", "sizes", "hashes", "tokens").mapInArrow(ask, "shard long, bucket long, hashes binary, counts binary")
+    asked = shards.select("shard", "name").mapInArrow(ask, "shard long, bucket long, hashes binary, counts binary")
     return asked.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(answer, "shard long, bucket long, counts binary, types long, total long")
 
 
 def _train_counts(row: dict) -> np.ndarray:
-    train = np.repeat(~np.array(row["held"], bool), row["sizes"])
+    train = np.repeat(~row["held"], row["sizes"])
     return np.bincount(unplanes(row["tokens"])[train], minlength=len(row["hashes"]) // 8)
 
 
@@ -288,7 +323,7 @@ def _powers(n: int) -> np.ndarray:
     return _cache[0][:n]
 
 
-def common(sa: SuffixArray, place: np.ndarray, sums: np.ndarray, at: np.ndarray, stop: np.ndarray, known: np.ndarray) -> np.ndarray:
+def common(sa: SuffixArray, place: np.ndarray, ids: np.ndarray, sums: np.ndarray, at: np.ndarray, stop: np.ndarray, known: np.ndarray) -> np.ndarray:
     """How many tokens from ``place`` in the shard and from ``at`` in the query agree, at least ``known``; by galloping over block hashes."""
     most = np.minimum(sa.stop[place] - place, stop - at)
     low, high = known.copy(), most.copy()
@@ -302,7 +337,14 @@ def common(sa: SuffixArray, place: np.ndarray, sums: np.ndarray, at: np.ndarray,
             y = (sums[q + length] - sums[q]) * powers[np.maximum(p - q, 0)]
             return x == y
 
+    # Most agree in little more: the next tokens are compared as they are, one by one.
     live = np.flatnonzero(low < high)
+    for _ in range(4):
+        ok = sa.tokens[place[live] + low[live]] == ids[at[live] + low[live]]
+        high[live[~ok]] = low[live[~ok]]
+        live = live[ok]
+        low[live] += 1
+        live = live[low[live] < high[live]]
     while len(live):
         tried = np.minimum(low[live] + step[live], high[live])
         ok = same(live, tried)
@@ -314,21 +356,22 @@ def common(sa: SuffixArray, place: np.ndarray, sums: np.ndarray, at: np.ndarray,
     return low
 
 
-def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarray, stop: np.ndarray, few: int = 16, deep: int = 24):
-    """Matches of the query tokens ``ids`` (numbers in the shard, -1: none) from each of ``starts`` up to ``stop``.
+def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarray, stop: np.ndarray, order: np.ndarray, few: int = 16, deep: int = 24):
+    """Matches of the query tokens ``ids`` (numbers in the shard, -1: none) from each of ``starts`` up to ``stop``. ``order``: the numbers of the starts
+    with a second token, by what they begin with.
 
     ``(start number, depth, count)`` for every depth from 2 that was searched, and ``(start number, depth)`` for each occurrence
     that agrees in more than the depth at which it was looked at by itself: there it counts for each depth up to its own.
     """
     counted, single = [], []
-    many = np.arange(len(starts))
-    room = stop - starts >= 2
-    many = many[room & (ids[starts] >= 0)]
-    many = many[ids[starts[many] + 1] >= 0]
-    key = ids[starts[many]] * np.int64(1 << 32) + ids[starts[many] + 1] + 1
-    by = np.argsort(key, kind="stable")
-    many, key = many[by], key[by]
-    low, high = np.searchsorted(sa.pairs, key, "left"), np.searchsorted(sa.pairs, key, "right")
+    first, second = ids[starts[order]], ids[starts[order] + 1]
+    known = (first >= 0) & (second >= 0)
+    many = order[known]
+    # Numbers of tokens ascend with their hashes in every shard, so these keys ascend as well.
+    key = (first[known] << 32) + second[known] + 1
+    low = np.searchsorted(sa.pairs, key, "left")
+    hit = np.flatnonzero(sa.pairs[np.minimum(low, sa.n - 1)] == key)
+    many, low, high = many[hit], low[hit], np.searchsorted(sa.pairs, key[hit], "right")
     depth = 2
     while True:
         live = high > low
@@ -341,7 +384,7 @@ def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarra
             m, a, k = many[alone], low[alone], (high - low)[alone]
             which = np.repeat(np.arange(len(m)), k)
             place = sa.order[np.repeat(a - np.cumsum(k) + k, k) + np.arange(len(which))].astype(np.int64)
-            length = common(sa, place, sums, starts[m][which], stop[m][which], np.full(len(which), depth, np.int64))
+            length = common(sa, place, ids, sums, starts[m][which], stop[m][which], np.full(len(which), depth, np.int64))
             more = length > depth
             single.append(np.stack([m[which][more], np.full(int(more.sum()), depth), length[more]], 1))
             many, low, high = many[~alone], low[~alone], high[~alone]
@@ -383,37 +426,41 @@ def spread(counted: np.ndarray, single: np.ndarray, n: int, least: np.ndarray |
     return rows[:, 0], rows[:, 1], rows[:, 2], longest
 
 
-_QUERY = "shard long, held array<boolean>, reach array<int>, hashes binary, tokens binary"
+_QUERY = "shard long, query string"
 
 
-def queries_of(shards: DataFrame, place: str) -> DataFrame:
-    """What is searched for, by home shard: held-out texts whole, training texts up to ``STEM`` + 1 tokens, or whole if what they begin with may recur."""
+def queries_of(shards: DataFrame, place: str, queries: str) -> DataFrame:
+    """What is searched for, by home shard, in files at ``queries``: held-out texts whole, training texts up to ``STEM`` + 1 tokens, or whole if what they begin with may recur."""
     stems = shards.select("shard", F.posexplode("stems").alias("at", "stem")).where("stem <> 0")
     again = shards.select(F.explode("marks").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stem")
-    stems.join(again, "stem").groupBy("shard").agg(F.collect_list("at").alias("whole")).write.option("compression", "zstd").parquet(place)
+    whole = stems.join(again, "stem").groupBy("shard").agg(F.collect_list("at").alias("whole"))
 
     def cut(batches):
-        # A shard looks its own row up, so that token rows need not be exchanged.
-        fs, base = pafs.FileSystem.from_uri(place) if "://" in place else (pafs.LocalFileSystem(), place)
-        listed = pads.dataset(base, schema=pa.schema([("shard", pa.int64()), ("whole", pa.list_(pa.int32()))]), filesystem=fs, format="parquet")
         for batch in batches:
-            for row in batch.to_pylist():
-                own = listed.to_table(filter=pc.field("shard") == row["shard"]).column("whole").to_pylist()
-                row["whole"] = own[0] if own else []
-                held, sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
+            for shard, name, again in zip(*(batch.column(c).to_pylist() for c in ("shard", "name", "whole"))):
+                row = _load(place, name)
+                held, sizes = row["held"], row["sizes"]
                 full = held.copy()
-                full[row["whole"]] = True
+                full[again or []] = True
                 reach = np.where(full, sizes, np.minimum(sizes, STEM + 1))
                 begins = np.cumsum(sizes) - sizes
                 taken = np.repeat(begins - np.cumsum(reach) + reach, reach) + np.arange(int(reach.sum()))
                 kinds, tokens = np.unique(unplanes(row["tokens"])[taken], return_inverse=True)
                 hashes = np.frombuffer(row["hashes"], np.uint64)[kinds]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]]), pa.array([row["held"]], pa.list_(pa.bool_())), pa.array([reach.tolist()], pa.list_(pa.int32())), pa.array([hashes.tobytes()], pa.binary()), pa.array([planes(tokens)], pa.binary())],
-                    ["shard", "held", "reach", "hashes", "tokens"],
-                )
-
-    return shards.select("shard", "held", "sizes", "hashes", "tokens").mapInArrow(cut, _QUERY)
+                starts, stop, _, _ = _starts(held, reach)
+                padded = np.append(tokens, [0] * 4)
+                order = np.lexsort([padded[starts + k] for k in (3, 2, 1, 0)])
+                order = order[stop[order] - starts[order] >= 2]
+                query = _save(
+                    queries,
+                    {
+                        "held": pa.array(held), "reach": pa.array(reach), "hashes": pa.array([hashes.tobytes()], pa.binary()),
+                        "tokens": pa.array([planes(tokens)], pa.binary()), "order": pa.array([planes(order)], pa.binary()),
+                    },
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([query])], ["shard", "query"])
+
+    return shards.select("shard", "name").join(whole, "shard", "left").mapInArrow(cut, _QUERY)
 
 
 def _starts(held: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -428,39 +475,42 @@ def _starts(held: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.repeat(ends, reach)[starts], inner[starts], np.searchsorted(starts, first)
 
 
-def matches(shards: DataFrame, place: str) -> DataFrame:
-    """``shard, blob``: for the queries of each home shard (read in blocks from ``place``) what one shard has; a row for each pair of them."""
+def matches(shards: DataFrame, place: str, asked: str, queries: str, n: int) -> DataFrame:
+    """``shard, blob``: for the queries of each home shard (listed at ``asked``, read one by one from ``queries``) what one shard has; a row for each pair of them."""
 
     def find(batches):
-        fs, base = pafs.FileSystem.from_uri(place) if "://" in place else (pafs.LocalFileSystem(), place)
+        fs, base = _filesystem(asked)
         for batch in batches:
-            for row in batch.to_pylist():
-                held, sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-                train = np.repeat(~held, sizes)
-                hashes = np.frombuffer(row["hashes"], np.uint64)
-                sa = SuffixArray(unplanes(row["tokens"])[train], sizes[~held], hashes)
-                if not sa.n:
+            for name in batch.column("name").to_pylist():
+                row = _load(place, name)
+                held, sizes = row["held"], row["sizes"]
+                tokens, hashes = unplanes(row["tokens"])[np.repeat(~held, sizes)], np.frombuffer(row["hashes"], np.uint64)
+                del row
+                if not len(tokens):
                     continue
-                for part in pads.dataset(base, filesystem=fs, format="parquet").to_batches(batch_size=1, batch_readahead=0, fragment_readahead=0):
-                    for q in part.to_pylist():
-                        yield _matched(sa, q)
+                sa = SuffixArray(tokens, sizes[~held], hashes)
+                del tokens
+                listed = pads.dataset(base, schema=pa.schema([("shard", pa.int64()), ("query", pa.string())]), filesystem=fs, format="parquet").to_table()
+                for home, query in zip(listed.column("shard").to_pylist(), listed.column("query").to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([_matched(sa, _load(queries, query))], pa.binary())], ["shard", "blob"])
+                del sa
 
-    return shards.select("shard", "held", "sizes", "hashes", "tokens").mapInArrow(find, "shard long, blob binary")
+    return shards.select("name").repartition(n).mapInArrow(find, "shard long, blob binary")
 
 
-def _matched(sa: SuffixArray, q: dict) -> pa.RecordBatch:
+def _matched(sa: SuffixArray, q: dict) -> bytes:
     hashes, tokens = np.frombuffer(q["hashes"], np.uint64), unplanes(q["tokens"])
     slot = np.minimum(np.searchsorted(sa.hashes, hashes), len(sa.hashes) - 1)
     ids = np.where(sa.hashes[slot] == hashes, slot, -1)[tokens]
-    starts, stop, inner, _ = _starts(np.array(q["held"], bool), np.array(q["reach"], np.int64))
+    starts, stop, inner, _ = _starts(q["held"], q["reach"])
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes)[tokens] * _powers(len(tokens)), dtype=np.uint64)))
-    counted, single = search(sa, ids, sums, starts, stop)
+    counted, single = search(sa, ids, sums, starts, stop, unplanes(q["order"]))
     at, depth, count, longest = spread(counted, single, len(starts), inner)
     order = np.lexsort((depth, at))
     at, depth, count = at[order], depth[order], count[order]
     blob = b"".join((np.array([len(longest), len(at)], "<u4").tobytes(), planes(longest), planes(np.diff(at, prepend=0)), planes(depth), planes(count)))
-    return pa.RecordBatch.from_arrays([pa.array([q["shard"]]), pa.array([zstandard.ZstdCompressor(level=1).compress(blob)], pa.binary())], ["shard", "blob"])
+    return zstandard.ZstdCompressor(level=1).compress(blob)
 
 
 class _Found:
@@ -502,9 +552,9 @@ class _Found:
         return np.where(self.keys[slot] == key, self.counts[slot], 0)
 
 
-def evidence(found: _Found, tokens: np.ndarray, once: np.ndarray, held: np.ndarray, sizes: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def evidence(found: _Found, once: np.ndarray, held: np.ndarray, sizes: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token the counts of its longest context and of the context with it; 0 for no context. ``once``: unigram counts of the tokens."""
-    begins, n = np.cumsum(sizes) - sizes, len(tokens)
+    begins, n = np.cumsum(sizes) - sizes, len(once)
     starts, _, _, number = _starts(held, reach)
     longest = found.longest if found.longest is not None else np.zeros(len(starts), np.int64)
     context, pair = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -545,60 +595,63 @@ def score_texts(docs: DataFrame, weight: float = WEIGHT, growth: float = GROWTH,
     """
     spark = docs.sparkSession
     place = shared_place(spark, "lm")
-    shards_of(texts_of(docs), shard_bytes).write.option("compression", "zstd").parquet(f"{place}/shards")
+    tokens, queries = f"{place}/tokens", f"{place}/query-tokens"
+    shards_of(texts_of(docs), tokens, shard_bytes).write.option("compression", "zstd").parquet(f"{place}/shards")
     shards = spark.read.schema(_SHARD).parquet(f"{place}/shards")
-    n = shards.count()
-    unigrams(shards, min(4096, max(8, 2 * n))).write.option("compression", "zstd").parquet(f"{place}/unigrams")
+    n = max(1, shards.count())
+    spread_out = shards.select("shard", "name").repartition(n)
+    buckets = min(4096, max(8, 2 * n))
+    unigrams(spread_out, tokens, buckets).write.option("compression", "zstd").parquet(f"{place}/unigrams")
     once = spark.read.schema("shard long, bucket long, counts binary, types long, total long").parquet(f"{place}/unigrams")
     types, total = (int(x or 0) for x in once.agg(F.sum("types"), F.sum("total")).first())
-    buckets = min(4096, max(8, 2 * n))
-    queries_of(shards, f"{place}/whole").write.option("compression", "zstd").parquet(f"{place}/queries")
+    queries_of(shards, tokens, queries).write.option("compression", "zstd").parquet(f"{place}/queries")
     asked = spark.read.schema(_QUERY).parquet(f"{place}/queries")
-    found = matches(shards, f"{place}/queries")
-    rows = shards.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("bucket"), "doc_ids", "held", "sizes", "hashes", "tokens")
+    found = matches(shards, tokens, f"{place}/queries", queries, n)
+    rows = shards.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("bucket"), "name", F.lit(None).cast("binary").alias("blob"))
     more = [
-        asked.select("shard", F.lit(1).alias("kind"), F.col("reach").alias("sizes")),
-        once.select("shard", F.lit(2).alias("kind"), "bucket", F.col("counts").alias("tokens")),
-        found.select("shard", F.lit(3).alias("kind"), F.col("blob").alias("tokens")),
+        asked.select("shard", F.lit(1).alias("kind"), F.col("query").alias("name")),
+        once.select("shard", F.lit(2).alias("kind"), "bucket", F.col("counts").alias("blob")),
+        found.select("shard", F.lit(3).alias("kind"), "blob"),
     ]
     for part in more:
         rows = rows.unionByName(part, allowMissingColumns=True)
 
-    def finish(home: dict, reach: list[int], answers: dict[int, bytes], united: _Found) -> pa.RecordBatch:
-        hashes, tokens = np.frombuffer(home["hashes"], np.uint64), unplanes(home["tokens"])
+    def finish(name: str, query: str, answers: dict[int, bytes], united: _Found) -> pa.RecordBatch:
+        home, reach = _load(tokens, name), _load(queries, query)["reach"]
+        hashes, numbers = np.frombuffer(home["hashes"], np.uint64), unplanes(home["tokens"])
         bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         counts = np.empty(len(hashes), np.int64)
         counts[order] = np.concatenate([np.frombuffer(answers[b], "<i8") for b in range(buckets)])
-        once_, sizes, held = counts[tokens], np.array(home["sizes"], np.int64), np.array(home["held"], bool)
+        once_, sizes, held = counts[numbers], home["sizes"], home["held"]
         p = (once_ + ADD) / (total + ADD * (types + 1))
-        c, k = evidence(united, tokens, once_, held, sizes, np.array(reach, np.int64))
+        c, k = evidence(united, once_, held, sizes, reach)
         a = weight * np.power(np.maximum(c, 1), growth)
         q = np.where(c > 0, (k + a * p) / (c + a), p)
         first = np.cumsum(sizes) - sizes
         per = lambda x: np.add.reduceat(x, first)
         arrays = [
-            pa.array(home["doc_ids"], pa.int64()), pa.array(held), pa.array(sizes), pa.array(per((once_ > 0).astype(np.int64))), pa.array(np.full(len(sizes), total, np.int64)),
+            home["doc_ids"], pa.array(held), pa.array(sizes), pa.array(per((once_ > 0).astype(np.int64))), pa.array(np.full(len(sizes), total, np.int64)),
             pa.array(per(np.log10(p))), pa.array(per(np.log10(q))),
         ]
         return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _OUT.split(", ")])
 
     def unite(batches):
-        home, reach, answers, united = None, [], {}, _Found()
+        name, query, answers, united = None, None, {}, _Found()
         for batch in batches:
-            kinds = batch.column("kind").to_pylist()
-            for i, kind in enumerate(kinds):
+            for kind, bucket, told, blob in zip(*(batch.column(c) for c in ("kind", "bucket", "name", "blob"))):
+                kind = kind.as_py()
                 if kind == 0:
-                    if home:
-                        yield finish(home, reach, answers, united)
-                    home, answers, united = batch.slice(i, 1).to_pylist()[0], {}, _Found()
+                    if name:
+                        yield finish(name, query, answers, united)
+                    name, answers, united = told.as_py(), {}, _Found()
                 elif kind == 1:
-                    reach = batch.column("sizes")[i].as_py()
+                    query = told.as_py()
                 elif kind == 2:
-                    answers[batch.column("bucket")[i].as_py()] = batch.column("tokens")[i].as_py()
+                    answers[bucket.as_py()] = blob.as_py()
                 else:
-                    united.add(batch.column("tokens")[i].as_py())
-        if home:
-            yield finish(home, reach, answers, united)
+                    united.add(blob.as_py())
+        if name:
+            yield finish(name, query, answers, united)
 
     return rows.repartition("shard").sortWithinPartitions("shard", "kind", "bucket").mapInArrow(unite, _OUT)

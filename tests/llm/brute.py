@@ -67,8 +67,8 @@ def edit_distance_within(item: str, text: str) -> int:
     return min(row)
 
 
-def ngram_scores(rows: list[tuple[int, str | None]], weight: float, growth: float, add: float = 0.1) -> dict[int, tuple]:
-    """doc_id: (held_out, n_tokens, n_known, train_tokens, base_score, score), by looking through all training texts for every context."""
+def ngram_scores(rows: list[tuple[int, str | None]], weight: float, growth: float, add: float = 0.1, ids: list | None = None) -> dict[int, tuple]:
+    """doc_id: (held_out, n_tokens, n_known, train_tokens, base_score, score), by looking through all training texts for every context. ``ids``: the ids that decide what is held out, if not those of the rows."""
     import math
     import re
     import zlib
@@ -76,7 +76,8 @@ def ngram_scores(rows: list[tuple[int, str | None]], weight: float, growth: floa
 
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), "\n"] for i, t in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    named = {i: i if ids is None else ids[i] for i in texts}
+    held = {i: zlib.crc32(b"" if named[i] is None else str(named[i]).encode()) % 10 == 0 for i in texts}
     grams: Counter = Counter()
     for i, x in texts.items():
         if not held[i]:

@@ -275,7 +275,8 @@ def test_contamination(spark, docs, corpus):
 
 
 def test_ngram_scores(spark, docs, corpus):
-    rows = [(i, t) for i, t in corpus if len(t or "") < 4000] + [(100 + i, t) for i, t in corpus[6:40]]
+    # Copies, and a long text (brute force holds all grams of a text, so not the longest of the corpus) that is held out (82) and in training (83).
+    rows = [(i, t) for i, t in corpus if len(t or "") < 4000] + [(100 + i, t) for i, t in corpus[6:40]] + [(82, corpus[60][1][:6000]), (83, corpus[60][1][:6000])]
     told = brute.ngram_scores(rows, ngram.WEIGHT, ngram.GROWTH)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for size in (1 << 25, 3000):
@@ -287,6 +288,15 @@ def test_ngram_scores(spark, docs, corpus):
     assert ngram.score_texts(frame.limit(0)).count() == 0
 
 
+def test_ngram_scores_with_null_and_repeated_ids(spark):
+    rows = [(None, "one two three four"), (5, "one two three"), (5, "one two three"), (5, "four one two"), (6, "two three four"), (82, "one two three four"), (82, None)]
+    found = ngram.score_texts(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int")).collect()
+    plain = brute.ngram_scores([(n, t) for n, (_, t) in enumerate(rows)], ngram.WEIGHT, ngram.GROWTH, ids=[i for i, _ in rows])
+    assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in found) == sorted(
+        (rows[n][0] or -1, *v[:4], round(v[4], 9), round(v[5], 9)) for n, v in plain.items()
+    )
+
+
 # 7
 
 
