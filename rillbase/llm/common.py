@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,18 @@ from pyspark.sql import functions as F
 
 from rillbase.storage import shared_place, shared_root, written
 
-__all__ = ["by_chars", "shared_place", "shared_root", "texts_of", "written"]
+__all__ = ["by_chars", "lean_memory", "shared_place", "shared_root", "texts_of", "written"]
+
+
+def lean_memory() -> None:
+    """Have this worker give large arrays back to the system as soon as they are freed, where the C library can be told so."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:

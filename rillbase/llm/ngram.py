@@ -27,14 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars, shared_place, texts_of
+from rillbase.llm.common import by_chars, lean_memory, shared_place, texts_of
 from rillbase.llm.shingles import joined, mix, word_hashes, words
 
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens of a training text's start whose recurrence decides whether all of it is searched for, and those of the grams that tell.
 STEM, GRAM = 32, 8
-#: Depths up to which a search uses keys of whole prefixes; beyond, few intervals are left.
-KEYED = 3
 #: Bytes of text in a shard, about. A task takes some 15 bytes of memory for each.
 SHARD_BYTES = 28 << 20
 WEIGHT, GROWTH, ADD = 3.0, 0.9, 0.1
@@ -101,6 +99,7 @@ def shards_of(docs: DataFrame, place: str, most: int = SHARD_BYTES) -> DataFrame
     """The texts as token shards of about ``most`` bytes of text, in files at ``place``: a sorted table of distinct hashes and, for each token, its place in it."""
 
     def build(batches):
+        lean_memory()
         held, size, number = [], 0, TaskContext.get().partitionId() << 20
 
         def flush():
@@ -252,7 +251,7 @@ class SuffixArray:
         self.order = np.argsort(rank, kind="stable").astype(small)
         del rank
         o = self.order
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.rank = self.triples = None
         second = np.where(o + small(1) < self.stop[o], self.tokens[np.minimum(o + small(1), n - 1)] + small(1), small(0))
         #: The first two tokens of each suffix, in order: where a search begins.
         self.pairs = (self.tokens[o].astype(np.int64) << 32) + second
@@ -273,27 +272,17 @@ class SuffixArray:
         at = self.order[place] + depth
         return np.where(at < self.stop[self.order[place]], self.tokens[np.minimum(at, self.n - 1)] + 1, 0)
 
-    def level(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """A dense rank of each suffix by its first ``depth`` tokens, and the key of that rank and the next token; both ascend in the order."""
-        if depth not in self.levels:
-            if depth == 2:
-                before = self.pairs
-            else:
-                before = self.level(depth - 1)[1]
-            new = np.concatenate(([False], before[1:] != before[:-1]))
-            rank = np.cumsum(new, dtype=np.int32)
-            at = self.order + np.int32(depth)
+    def next_part(self, low: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts with ``wanted`` (+1) as third token of the intervals that begin at ``low`` and agree in two, by keys of a dense rank of the first two and the third."""
+        if self.rank is None:
+            self.rank = np.cumsum(np.concatenate(([False], self.pairs[1:] != self.pairs[:-1])), dtype=np.int32)
+            at = self.order + np.int32(2)
             after = np.where(at < self.stop[self.order], self.tokens[np.minimum(at, self.n - 1)] + np.int32(1), np.int32(0))
-            self.levels[depth] = rank, (rank.astype(np.int64) << 32) + after
-        return self.levels[depth]
+            self.triples = (self.rank.astype(np.int64) << 32) + after
+        key = (self.rank[low].astype(np.int64) << 32) + wanted
+        return np.searchsorted(self.triples, key, "left"), np.searchsorted(self.triples, key, "right")
 
-    def next_part(self, low: np.ndarray, depth: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The parts with ``wanted`` (+1) at ``depth`` of the intervals that begin at ``low`` and agree in ``depth`` tokens."""
-        rank, keys = self.level(depth)
-        key = (rank[low].astype(np.int64) << 32) + wanted
-        return np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-
-    def narrow(self, low: np.ndarray, high: np.ndarray, depth: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def narrow(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The parts of the intervals whose suffixes have ``wanted`` (+1) at ``depth``, by binary search."""
         out = []
         for above in (0, 1):
@@ -303,7 +292,7 @@ class SuffixArray:
                 if not len(live):
                     break
                 mid = (a[live] + b[live]) >> 1
-                less = self.token_at(mid, depth) < wanted[live] + above
+                less = self.token_at(mid, depth[live]) < wanted[live] + above
                 a[live[less]] = mid[less] + 1
                 b[live[~less]] = mid[~less]
             out.append(a)
@@ -356,12 +345,12 @@ def common(sa: SuffixArray, place: np.ndarray, ids: np.ndarray, sums: np.ndarray
     return low
 
 
-def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarray, stop: np.ndarray, order: np.ndarray, few: int = 16, deep: int = 24):
+def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarray, stop: np.ndarray, order: np.ndarray, few: int = 16):
     """Matches of the query tokens ``ids`` (numbers in the shard, -1: none) from each of ``starts`` up to ``stop``. ``order``: the numbers of the starts
     with a second token, by what they begin with.
 
-    ``(start number, depth, count)`` for every depth from 2 that was searched, and ``(start number, depth)`` for each occurrence
-    that agrees in more than the depth at which it was looked at by itself: there it counts for each depth up to its own.
+    ``(start number, first depth, last depth, count)`` for the depths from 2 that an interval of the array was followed through, and ``(start number, depth,
+    length)`` for each of its last few occurrences: there it counts for each depth beyond ``depth`` up to ``length``.
     """
     counted, single = [], []
     first, second = ids[starts[order]], ids[starts[order] + 1]
@@ -372,64 +361,69 @@ def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarra
     low = np.searchsorted(sa.pairs, key, "left")
     hit = np.flatnonzero(sa.pairs[np.minimum(low, sa.n - 1)] == key)
     many, low, high = many[hit], low[hit], np.searchsorted(sa.pairs, key[hit], "right")
-    depth = 2
-    while True:
-        live = high > low
-        many, low, high = many[live], low[live], high[live]
-        if not len(many):
-            break
-        counted.append(np.stack([many, np.full(len(many), depth), high - low], 1))
-        alone = (high - low <= few) if depth < deep else np.ones(len(many), bool)
-        if depth >= 3 and alone.any():
-            m, a, k = many[alone], low[alone], (high - low)[alone]
+    depth = np.full(len(many), 2, np.int64)
+    while len(many):
+        alone = (high - low <= few) & (depth > 2)
+        every = [x[alone] for x in (many, low, high - low, depth)]
+        counted.append(np.stack([every[0], every[3], every[3], every[2]], 1))
+        block = np.cumsum(every[2]) >> 17
+        for c in range(int(block[-1]) + 1 if len(block) else 0):  # bounds what occurrences expand to
+            m, a, k, d = (x[block == c] for x in every)
             which = np.repeat(np.arange(len(m)), k)
             place = sa.order[np.repeat(a - np.cumsum(k) + k, k) + np.arange(len(which))].astype(np.int64)
-            length = common(sa, place, ids, sums, starts[m][which], stop[m][which], np.full(len(which), depth, np.int64))
-            more = length > depth
-            single.append(np.stack([m[which][more], np.full(int(more.sum()), depth), length[more]], 1))
-            many, low, high = many[~alone], low[~alone], high[~alone]
-        room = stop[many] - starts[many] > depth
-        many, low, high = many[room], low[room], high[room]
+            length = common(sa, place, ids, sums, starts[m][which], stop[m][which], d[which])
+            more = length > d[which]
+            single.append(np.stack([m[which][more], d[which][more], length[more]], 1))
+        many, low, high, depth = (x[~alone] for x in (many, low, high, depth))
+        # An interval agrees with the query as far as its first and its last suffix do.
+        last = depth
+        if len(many) and depth[0] > 2:
+            ends = [common(sa, sa.order[x].astype(np.int64), ids, sums, starts[many], stop[many], depth) for x in (low, high - 1)]
+            last = np.minimum(*ends)
+        counted.append(np.stack([many, depth, last, high - low], 1))
+        room = starts[many] + last < stop[many]
+        many, low, high, depth = many[room], low[room], high[room], last[room]
         wanted = ids[starts[many] + depth] + 1
         known = wanted > 0
-        many, wanted = many[known], wanted[known]
-        low, high = sa.next_part(low[known], depth, wanted) if depth <= KEYED else sa.narrow(low[known], high[known], depth, wanted)
-        depth += 1
-    none = np.zeros((0, 3), np.int64)
-    return np.concatenate(counted) if counted else none, np.concatenate(single) if single else none
+        many, low, high, depth, wanted = (x[known] for x in (many, low, high, depth, wanted))
+        low, high = sa.next_part(low, wanted) if len(depth) and depth[0] == 2 else sa.narrow(low, high, depth, wanted)
+        live = high > low
+        many, low, high, depth = many[live], low[live], high[live], depth[live] + 1
+    none = np.zeros((0, 4), np.int64)
+    return np.concatenate(counted) if counted else none, np.concatenate(single) if single else none[:, :3]
+
 
+def search_in_parts(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarray, stop: np.ndarray, order: np.ndarray, part: int = 1 << 16):
+    """``search``, some starts at a time, which bounds its memory."""
+    found = [search(sa, ids, sums, starts, stop, order[i : i + part]) for i in range(0, max(1, len(order)), part)]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-def spread(counted: np.ndarray, single: np.ndarray, n: int, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``start, depth, count`` rows without gaps and each start's longest match, from what ``search`` found.
+
+def spread(counted: np.ndarray, single: np.ndarray, n: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``start, depth, count`` rows and each start's longest match, from what ``search`` found.
 
     ``least``: whether only depths from a start's left neighbour's longest match are needed, as for consecutive places of a text.
     """
     longest = np.zeros(n, np.int64)
     for rows in (counted, single):
-        if len(rows):
-            np.maximum.at(longest, rows[:, 0], rows[:, -1] if rows is single else rows[:, 1])
-    floor = np.full(n, 2, np.int64)
-    if least is not None:
-        before = np.concatenate(([0], longest[:-1]))
-        floor = np.where(least, np.maximum(2, before), 2)
-    kept = counted[counted[:, 1] >= floor[counted[:, 0]]]
-    parts = [kept]
-    if len(single):
-        begin = np.maximum(single[:, 1] + 1, floor[single[:, 0]])
-        size = np.maximum(0, single[:, 2] - begin + 1)
-        which = np.repeat(np.arange(len(single)), size)
-        depth = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(which))
-        key = single[which, 0] * np.int64(1 << 32) + depth
-        kinds, count = np.unique(key, return_counts=True)
-        parts.append(np.stack([kinds >> 32, kinds & ((1 << 32) - 1), count], 1))
-    rows = np.concatenate(parts)
-    return rows[:, 0], rows[:, 1], rows[:, 2], longest
+        np.maximum.at(longest, rows[:, 0], rows[:, 2])
+    floor = np.where(least, np.maximum(2, np.concatenate(([0], longest[:-1]))), 2)
+
+    def expanded(start, begin, end):
+        size = np.maximum(0, end - begin + 1)
+        which = np.repeat(np.arange(len(start)), size)
+        return which, start[which], np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(which))
+
+    which, at, depth = expanded(counted[:, 0], np.maximum(counted[:, 1], floor[counted[:, 0]]), counted[:, 2])
+    _, own, deep = expanded(single[:, 0], np.maximum(single[:, 1] + 1, floor[single[:, 0]]), single[:, 2])
+    kinds, times = np.unique((own << 32) | deep, return_counts=True)
+    return np.concatenate((at, kinds >> 32)), np.concatenate((depth, kinds & ((1 << 32) - 1))), np.concatenate((counted[which, 3], times)), longest
 
 
 _QUERY = "shard long, query string"
 
 
-def queries_of(shards: DataFrame, place: str, queries: str) -> DataFrame:
+def queries_of(shards: DataFrame, place: str, queries: str, n: int) -> DataFrame:
     """What is searched for, by home shard, in files at ``queries``: held-out texts whole, training texts up to ``STEM`` + 1 tokens, or whole if what they begin with may recur."""
     stems = shards.select("shard", F.posexplode("stems").alias("at", "stem")).where("stem <> 0")
     again = shards.select(F.explode("marks").alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stem")
@@ -460,7 +454,7 @@ def queries_of(shards: DataFrame, place: str, queries: str) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([query])], ["shard", "query"])
 
-    return shards.select("shard", "name").join(whole, "shard", "left").mapInArrow(cut, _QUERY)
+    return shards.select("shard", "name").join(whole, "shard", "left").repartition(n).mapInArrow(cut, _QUERY)
 
 
 def _starts(held: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -479,6 +473,7 @@ def matches(shards: DataFrame, place: str, asked: str, queries: str, n: int) ->
     """``shard, blob``: for the queries of each home shard (listed at ``asked``, read one by one from ``queries``) what one shard has; a row for each pair of them."""
 
     def find(batches):
+        lean_memory()
         fs, base = _filesystem(asked)
         for batch in batches:
             for name in batch.column("name").to_pylist():
@@ -494,6 +489,7 @@ def matches(shards: DataFrame, place: str, asked: str, queries: str, n: int) ->
                 for home, query in zip(listed.column("shard").to_pylist(), listed.column("query").to_pylist()):
                     yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([_matched(sa, _load(queries, query))], pa.binary())], ["shard", "blob"])
                 del sa
+                lean_memory()
 
     return shards.select("name").repartition(n).mapInArrow(find, "shard long, blob binary")
 
@@ -505,7 +501,7 @@ def _matched(sa: SuffixArray, q: dict) -> bytes:
     starts, stop, inner, _ = _starts(q["held"], q["reach"])
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes)[tokens] * _powers(len(tokens)), dtype=np.uint64)))
-    counted, single = search(sa, ids, sums, starts, stop, unplanes(q["order"]))
+    counted, single = search_in_parts(sa, ids, sums, starts, stop, unplanes(q["order"]))
     at, depth, count, longest = spread(counted, single, len(starts), inner)
     order = np.lexsort((depth, at))
     at, depth, count = at[order], depth[order], count[order]
@@ -604,7 +600,7 @@ def score_texts(docs: DataFrame, weight: float = WEIGHT, growth: float = GROWTH,
     unigrams(spread_out, tokens, buckets).write.option("compression", "zstd").parquet(f"{place}/unigrams")
     once = spark.read.schema("shard long, bucket long, counts binary, types long, total long").parquet(f"{place}/unigrams")
     types, total = (int(x or 0) for x in once.agg(F.sum("types"), F.sum("total")).first())
-    queries_of(shards, tokens, queries).write.option("compression", "zstd").parquet(f"{place}/queries")
+    queries_of(shards, tokens, queries, n).write.option("compression", "zstd").parquet(f"{place}/queries")
     asked = spark.read.schema(_QUERY).parquet(f"{place}/queries")
     found = matches(shards, tokens, f"{place}/queries", queries, n)
     rows = shards.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("bucket"), "name", F.lit(None).cast("binary").alias("blob"))
@@ -654,4 +650,4 @@ def score_texts(docs: DataFrame, weight: float = WEIGHT, growth: float = GROWTH,
         if name:
             yield finish(name, query, answers, united)
 
-    return rows.repartition("shard").sortWithinPartitions("shard", "kind", "bucket").mapInArrow(unite, _OUT)
+    return rows.repartition(n, "shard").sortWithinPartitions("shard", "kind", "bucket").mapInArrow(unite, _OUT)
