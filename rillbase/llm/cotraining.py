@@ -1,9 +1,10 @@
 """A quality classifier by co-training (operator 3).
 
-Two views of a document, its text and its page metadata, each have a logistic model for low
-quality and one for toxicity. Over some rounds each view labels the unlabelled documents it is
-most sure of, and the other view learns from them. On labelled rows that neither has seen, the
-views are calibrated and combined, and the combination scores every document.
+Two views of a document, the words of its text and its page metadata (language, source, length, and
+figures of how the page is written), each have a logistic model for low quality and one for
+toxicity. In each round every view scores all documents without labels, and those it is most
+sure of are labelled for the other view. On labelled rows that neither has seen each view is
+calibrated by itself, the calibrated views are combined, and the combination scores every document.
 """
 
 from __future__ import annotations
@@ -11,57 +12,70 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars
+from rillbase.llm.common import by_chars, texts_of, written
 
-#: Rows that the models are fitted on at most. Documents are scored whole and all, whatever these are.
-LABELLED_ROWS, UNLABELLED_ROWS = 12_000, 6_000
-SLOTS = 1 << 20
+#: Labelled rows that the models are fitted on at most. Everything else covers all documents.
+LABELLED_ROWS = 12_000
+#: Rounds, documents of each value that a view labels for the other in a round, and how sure of them it is at least.
+ROUNDS, GIVE, CONFIDENT = 3, 400, 0.97
+WORD_SLOTS, META_SLOTS = 1 << 20, 1 << 13
+HEADS = ("low", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
-_STYLES = 10
-_EDGES = 8
+_BINS = 32
 
 
 def slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_SLOTS
 
 
-def style(text: str, words: list[str], distinct: int) -> list[float]:
-    """Figures of how a text is written."""
+class _Slots(dict):
+    """Slots of words, found once in a worker."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = s = slot(word)
+        return s
+
+
+def figures(text: str, words: list[str], distinct: int) -> list[float]:
+    """How a page is written, in numbers that mean as much at any length; most are shares."""
     n, chars = max(1, len(words)), max(1, len(text))
     raw = text.split()
     lines = [x for x in text.split("\n") if x.strip()]
-    upper = sum(map(str.isupper, raw))
-    marks = sum(map(text.count, "#*$%&|<>"))
     return [
-        marks / chars, upper / max(1, len(raw)), text.count("!") / n, sum(map(text.count, "0123456789")) / chars, sum(map(len, words)) / n,
-        distinct / n, 1 - len(set(lines)) / max(1, len(lines)), math.log1p(len(raw)), len(raw) / n, (text.count(".") + text.count(",")) / n,
+        sum(map(text.count, "#*$%&|<>")) / chars, sum(map(str.isupper, raw)) / max(1, len(raw)), text.count("!") / n, sum(map(text.count, "0123456789")) / chars,
+        distinct / n, 1 - len(set(lines)) / max(1, len(lines)), (text.count(".") + text.count(",")) / n,
+        sum(map(len, words)) / n / 20, math.log1p(len(raw)) / 12, len(raw) / n / 4,
     ]
 
 
-def _read(text: str) -> tuple[set[str], list[float]]:
-    words = _WORD.findall(text.lower())
-    kinds = set(words)
-    return kinds, style(text, words, len(kinds))
-
-
-def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[str]:
+def metadata(lang: str | None, source: str | None, n_chars: int | None, numbers: list[float]) -> list[int]:
+    """Slots of the metadata view: one for each figure's bin, and those of the columns and of language with length."""
     size = -1 if n_chars is None else int(2 * math.log2(max(1, n_chars)))
-    return [f"lang={lang}", f"source={source}", f"size={size}"]
+    bins = [k * _BINS + min(_BINS - 1, int(_BINS * math.sqrt(max(0.0, x)))) for k, x in enumerate(numbers)]
+    room, base = META_SLOTS - len(numbers) * _BINS, len(numbers) * _BINS
+    return bins + [base + zlib.crc32(x.encode("utf-8", "surrogatepass")) % room for x in (f"lang={lang}", f"source={source}", f"size={size}", f"lang={lang} size={size}")]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, steps: int = 150, decay: float = 1e-3) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic model over sets of features, by full-batch Adam."""
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.sum(np.logaddexp(0, z) - y * z))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, steps: int = 150, decay: float = 1e-2) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic model over sets of features, by full-batch Adam. Without rows of both values it says the only one, or 0."""
     n = len(rows)
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     if not n or labels.min() == labels.max():
@@ -73,178 +87,232 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, steps: int = 150,
     for t in range(1, steps + 1):
         p = _sigmoid(np.bincount(at, w[cols], n) + w[-1])
         d = weight * (p - labels) / n
-        g = np.append(np.bincount(cols, d[at], size) + decay * w[:-1] / n * 10, d.sum())
+        g = np.append(np.bincount(cols, d[at], size) + decay * w[:-1] / n, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w
 
 
-def scores(rows: list[np.ndarray], w: np.ndarray) -> np.ndarray:
-    return np.array([w[r].sum() for r in rows]) + w[-1] if rows else np.zeros(0)
+def select(rows: list[np.ndarray], labels: np.ndarray, size: int, least: int = 4, sure: float = 4.0) -> np.ndarray:
+    """The slots whose share of the positive rows differs clearly from their share of the others."""
+    if not len(labels) or labels.min() == labels.max():
+        return np.zeros(0, np.int64)
+    pos, neg = (np.bincount(np.concatenate([s for s, y in zip(rows, labels) if (y > 0) == k]), minlength=size) for k in (True, False))
+    a, b = labels.sum(), len(labels) - labels.sum()
+    share = (pos + neg) / (a + b)
+    z = (pos / a - neg / b) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / a + 1 / b))
+    return np.flatnonzero((np.abs(z) > sure) & (pos + neg >= least))
+
+
+def fit_words(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """A model of the text view. Its vocabulary is drawn from all rows at hand, those that the other view labelled included."""
+    chosen = select(rows, labels, WORD_SLOTS)
+    place = np.full(WORD_SLOTS, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    small = fit([place[r][place[r] >= 0] for r in rows], labels, len(chosen))
+    w = np.zeros(WORD_SLOTS + 1)
+    w[chosen], w[-1] = small[:-1], small[-1]
+    return w
+
+
+def _newton(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: float) -> np.ndarray:
+    """The logistic fit of ``y`` (0 to 1) on the columns of ``x``, with a pull towards ``start``: Newton steps, each halved until the loss falls."""
+    c = start.copy()
+    loss = lambda c: _loss(x @ c, y) + pull * float(((c - start) ** 2).sum()) / 2
+    now = loss(c)
+    for _ in range(50):
+        p = _sigmoid(x @ c)
+        g = x.T @ (p - y) + pull * (c - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + (pull + 1e-9) * np.eye(len(c)), g)
+        size = 1.0
+        while size > 1e-6 and loss(c - size * step) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        c = c - size * step
+        last, now = now, loss(c)
+        if last - now < 1e-9:
+            break
+    return c
+
+
+def calibrated(x: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope (0 at least) and bias of Platt's calibration of the scores ``x``; his targets keep it finite where a view makes no mistakes."""
+    pos, neg = float(labels.sum()), float(len(labels) - labels.sum())
+    y = np.where(labels > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, b = _newton(np.stack([x, np.ones(len(x))], 1), y, np.array([0.0, math.log((pos + 1) / (neg + 1))]), 1e-3)
+    return (float(a), float(b)) if a > 0 else (0.0, math.log((pos + 1) / (neg + 1)))
 
 
 @dataclass
 class Head:
-    """One question (low quality, or toxicity): a model for each view and their calibration."""
-
-    words: dict[int, float] = field(default_factory=dict)
-    styles: np.ndarray = field(default_factory=lambda: np.zeros((_STYLES, _EDGES + 1)))
-    text_bias: float = 0.0
-    meta: dict[str, float] = field(default_factory=dict)
-    meta_bias: float = 0.0
-    #: Weights of the text's and the metadata's logit, and the bias, of the calibrated combination.
+    """One question (low quality, or toxicity): a model of each view (the last weight is the bias), and their calibration and combination."""
+
+    words: np.ndarray
+    meta: np.ndarray
+    #: Slope and bias of each view, and the views' weights and the bias of the combination of calibrated logits.
+    scales: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (1.0, 0.0))
     combine: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
+    def logits(self, words: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """From sums of weights, bias included."""
+        (a, b), (c, d) = self.scales
+        u, v, w = self.combine
+        return u * (a * words + b) + v * (c * meta + d) + w
+
 
-def select_words(sets: list[np.ndarray], labels: np.ndarray, least: int = 4, sure: float = 4.0) -> np.ndarray:
-    """Slots whose share of the positive rows differs clearly from their share of the others."""
+def calibrate(head: Head, words: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Head:
+    """``head`` with each view calibrated and the two combined on rows that neither has seen; a view that would count against itself is left out."""
     if not len(labels) or labels.min() == labels.max():
-        return np.zeros(0, np.int64)
-    pos = np.bincount(np.concatenate([s for s, y in zip(sets, labels) if y > 0]), minlength=SLOTS)
-    neg = np.bincount(np.concatenate([s for s, y in zip(sets, labels) if y <= 0]), minlength=SLOTS)
-    a, b = labels.sum(), len(labels) - labels.sum()
-    share = (pos + neg) / (a + b)
-    z = (pos / a - neg / b) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / a + 1 / b))
-    return np.flatnonzero((np.abs(z) > sure) & (pos + neg >= least))
+        return head
+    scales = calibrated(words, labels), calibrated(meta, labels)
+    z = np.stack([a * x + b for (a, b), x in zip(scales, (words, meta))], 1)
+    used = [k for k in (0, 1) if scales[k][0] > 0]
+    weights = np.zeros(3)
+    while used:
+        start = np.append(np.full(len(used), 1 / len(used)), 0.0)
+        c = _newton(np.column_stack([z[:, used], np.ones(len(z))]), labels.astype(float), start, 1.0)
+        if (c[:-1] >= 0).all():
+            weights[used], weights[2] = c[:-1], c[-1]
+            break
+        used = [used[int(np.argmax(c[:-1]))]] if len(used) > 1 else []
+    if not used:
+        weights = np.array([0.0, 0.0, scales[0][1] if scales[0][0] == 0 else calibrated(words * 0, labels)[1]])
+    return Head(head.words, head.meta, scales, tuple(float(x) for x in weights))
 
 
-def cotrain(sets, styles, metas, labels, rounds: int = 3, give: int = 400, confident: float = 0.97) -> tuple[Head, np.ndarray]:
-    """``labels``: 1, 0 or -1 (unlabelled). Returns the head and the bin edges of the styles."""
-    n = len(labels)
-    held = np.arange(n) % 4 == 3  # for calibration
-    known = labels >= 0
-    edges = np.quantile(styles, np.linspace(0.02, 0.98, _EDGES), axis=0).T if n else np.zeros((_STYLES, _EDGES))
-    train = known & ~held
-    chosen = select_words([s for s, k in zip(sets, train) if k], labels[train])
-    place = {int(s): i for i, s in enumerate(chosen)}
-    style_at = len(chosen)
-    inside = np.zeros(SLOTS, bool)
-    inside[chosen] = True
-    lookup = np.zeros(SLOTS, np.int64)
-    lookup[chosen] = np.arange(len(chosen))
-    bins = np.stack([np.searchsorted(edges[j], styles[:, j]) for j in range(_STYLES)], 1) if n else np.zeros((0, _STYLES), int)
-    text_rows = [np.concatenate((lookup[s[inside[s]]], style_at + np.arange(_STYLES) * (_EDGES + 1) + b)) for s, b in zip(sets, bins)]
-    names = {m: i for i, m in enumerate(sorted({m for row in metas for m in row}))}
-    meta_rows = [np.array([names[m] for m in row]) for row in metas]
-    text_size, meta_size = style_at + _STYLES * (_EDGES + 1), len(names)
-    told = [np.where(train, labels, -1), np.where(train, labels, -1)]
-    views = [(text_rows, text_size), (meta_rows, meta_size)]
-    pool = ~known
-    weights: list[np.ndarray] = []
-    for r in range(rounds + 1):
-        weights = [fit([rows[i] for i in np.flatnonzero(t >= 0)], t[t >= 0].astype(float), size) for (rows, size), t in zip(views, told)]
-        if r == rounds:
-            break
-        for v in (0, 1):
-            open_ = np.flatnonzero(pool & (told[1 - v] < 0))
-            p = _sigmoid(scores([views[v][0][i] for i in open_], weights[v]))
-            for value, order in ((1, np.argsort(-p)), (0, np.argsort(p))):
-                sure = p if value else 1 - p
-                best = [k for k in order[:give].tolist() if sure[k] >= confident]
-                told[1 - v][open_[best]] = value
-    t, m = weights
-    calib = np.flatnonzero(known & held)
-    combine = (1.0, 0.0, 0.0)
-    if len(calib) and len(set(labels[calib])) == 2:
-        x = np.stack([scores([text_rows[i] for i in calib], t), scores([meta_rows[i] for i in calib], m), np.ones(len(calib))], 1)
-        x[:, :2] = np.clip(x[:, :2], -20, 20)
-        c = np.array([1.0, 0.0, 0.0])
-        for _ in range(30):  # Newton steps of a logistic fit
-            p = _sigmoid(x @ c)
-            h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.5, 0.5, 0.05])
-            c = c - np.linalg.solve(h, x.T @ (p - labels[calib]) + np.array([0.5, 0.5, 0.05]) * (c - np.array([1.0, 0.0, 0.0])))
-        combine = tuple(float(v) for v in c)
-    head = Head({s: float(t[i]) for s, i in place.items()}, t[style_at:-1].reshape(_STYLES, _EDGES + 1), float(t[-1]), {k: float(m[i]) for k, i in names.items()}, float(m[-1]), combine)
-    return head, edges
-
-
-class _Weights(dict):
-    """Both heads' weights of a word as one complex number, found once in a worker."""
-
-    def __init__(self, quality: Head, toxic: Head):
-        super().__init__()
-        self.quality, self.toxic = quality.words, toxic.words
-
-    def __missing__(self, word: str) -> complex:
-        if len(self) > 500_000:
-            self.clear()
-        s = slot(word)
-        self[word] = w = complex(self.quality.get(s, 0.0), self.toxic.get(s, 0.0))
-        return w
+def sums(raws: list[bytes], w: np.ndarray) -> np.ndarray:
+    """The weights of each row's slots (packed 32-bit numbers) and the bias together."""
+    ends = np.cumsum([len(r) // 4 for r in raws])
+    total = np.concatenate(([0.0], np.cumsum(w[np.frombuffer(b"".join(raws), np.uint32)])))
+    return total[ends] - total[np.concatenate(([0], ends[:-1]))] + w[-1] if raws else np.zeros(0)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int) -> DataFrame:
-    """At most ``labelled`` + ``unlabelled`` rows with their labels (null: none), chosen by a hash of the id."""
-    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null or toxic is not null")
-    known = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    others = docs.select("doc_id").where("doc_id is not null").distinct().join(marks, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    chosen = known.unionByName(others, allowMissingColumns=True)
-    return docs.join(F.broadcast(chosen), "doc_id")
+_FEATURES = "row long, doc_id {}, words binary, meta binary"
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unlabelled: int = UNLABELLED_ROWS) -> tuple[Head, Head, np.ndarray]:
-    """The heads for low quality and for toxicity."""
+def features(docs: DataFrame) -> DataFrame:
+    """Both views of every document as sets of slots, and a number for each row."""
 
     def describe(batches):
+        slots, row = _Slots(), TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for batch in by_chars(whole, "text"):
+                words, meta = [], []
+                for text, *columns in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
+                    found = _WORD.findall(text.lower())
+                    kinds = set(found)
+                    words.append(np.unique(np.fromiter(map(slots.__getitem__, kinds), np.uint32, len(kinds))).tobytes())
+                    meta.append(np.array(sorted(set(metadata(*columns, figures(text, found, len(kinds))))), np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(meta, pa.binary())], ["row", "doc_id", "words", "meta"])
+                row += batch.num_rows
+
+    docs = texts_of(docs, "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    return docs.mapInArrow(describe, _FEATURES.format(docs.schema["doc_id"].dataType.simpleString()))
+
+
+def labels_of(labels: DataFrame) -> DataFrame:
+    """``doc_id, low, toxic`` (1, 0 or null), once for each document: repeated labels count as the worst."""
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
+    return marks.where("low is not null or toxic is not null")
+
+
+def confident(rows: DataFrame, heads: dict[str, Head], give: int, sure: float) -> DataFrame:
+    """``head, view, value, row``: of ``rows`` the ``give`` that each view is surest of, for each head and value, if at least ``sure``.
+
+    Every row is scored; a task passes on its own surest only, and of these the surest of all are taken.
+    """
+    told = rows.sparkSession.sparkContext.broadcast(heads)
+
+    def score(batches):
+        best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            sets, styles = [], []
-            for text in batch.column("text").to_pylist():
-                kinds, figures = _read(text)
-                sets.append(np.unique(np.fromiter(map(slot, kinds), np.int32, len(kinds))))
-                styles.append(figures)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32())), pa.array(styles, pa.list_(pa.float64())), *(batch.column(c) for c in ("lang", "source", "n_chars", "quality", "toxic"))],
-                ["doc_id", "words", "style", "lang", "source", "n_chars", "quality", "toxic"],
-            )
-
-    rows = _sample(docs, labels, labelled, unlabelled).select("doc_id", "text", "lang", "source", "n_chars", F.col("quality").cast("int"), F.col("toxic").cast("int"))
-    table = rows.mapInArrow(describe, "doc_id long, words array<int>, style array<double>, lang string, source string, n_chars long, quality int, toxic int").toArrow()
-    order = np.argsort(np.array([zlib.crc32(str(i).encode()) for i in table.column("doc_id").to_pylist()], np.int64), kind="stable")
-    flat = table.column("words").combine_chunks()
-    offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy() if len(flat) else np.zeros(0, np.int32)
-    sets = [values[offsets[i] : offsets[i + 1]] for i in order]
-    styles = np.array(table.column("style").to_pylist(), float).reshape(-1, _STYLES)[order]
-    metas = [metadata(*x) for x in zip(*(table.column(c).to_pylist() for c in ("lang", "source", "n_chars")))]
-    metas = [metas[i] for i in order]
-    marks = {c: np.array([-1 if x is None else int(x > 0) for x in table.column(c).to_pylist()], int)[order] for c in ("quality", "toxic")}
-    low = np.where(marks["quality"] < 0, -1, 1 - marks["quality"])
-    quality, edges = cotrain(sets, styles, metas, low)
-    toxic, _ = cotrain(sets, styles, metas, marks["toxic"])
-    return quality, toxic, edges
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unlabelled: int = UNLABELLED_ROWS, cut: float = 0.5, toxic_cut: float = 0.4) -> DataFrame:
+            number = batch.column("row").to_numpy()
+            for name, head in told.value.items():
+                for view, (column, w) in enumerate((("words", head.words), ("meta", head.meta))):
+                    p = _sigmoid(sums(batch.column(column).to_pylist(), w))
+                    for value in (0, 1):
+                        how = p if value else 1 - p
+                        at = np.flatnonzero(how >= sure)
+                        old = best.get((name, view, value), (np.zeros(0), np.zeros(0, np.int64)))
+                        how, who = np.concatenate((old[0], how[at])), np.concatenate((old[1], number[at]))
+                        top = np.lexsort((who, -how))[:give]
+                        best[name, view, value] = how[top], who[top]
+        for (name, view, value), (how, who) in best.items():
+            n = len(who)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([view] * n, pa.int32()), pa.array([value] * n, pa.int32()), pa.array(how), pa.array(who)], ["head", "view", "value", "sure", "row"])
+
+    found = rows.select("row", "words", "meta").mapInArrow(score, "head string, view int, value int, sure double, row long")
+    rank = F.row_number().over(Window.partitionBy("head", "view", "value").orderBy(F.desc("sure"), "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= give).select("head", "view", "value", "row")
+
+
+def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, rounds: int = ROUNDS, give: int = GIVE, sure: float = CONFIDENT) -> dict[str, Head]:
+    """The heads, fitted on the driver on at most ``labelled`` labelled rows of ``rows`` (``features``) and what the views gave each other."""
+    marks = labels_of(labels)
+    known = rows.join(marks, "doc_id")
+    n = known.count()
+    if n > labelled:
+        # A share by hash, and no more than the bound.
+        known = known.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(labelled / n * (1 << 30))).limit(labelled)
+    table = known.select("row", "words", "meta", "low", "toxic").toArrow()
+    order = np.argsort(table.column("row").to_numpy(), kind="stable")
+    views = [[np.frombuffer(table.column(c)[i].as_py(), np.uint32) for i in order.tolist()] for c in ("words", "meta")]
+    truth = {h: np.array([-1 if x is None else int(x > 0) for x in table.column(h).to_pylist()], int)[order] for h in HEADS}
+    held = np.arange(len(order)) % 4 == 3  # for calibration
+    pool = rows.join(marks.select("doc_id"), "doc_id", "left_anti")
+    given: dict[tuple, dict[int, int]] = {(h, v): {} for h in HEADS for v in (0, 1)}
+    extra: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def fitted(h: str, v: int) -> np.ndarray:
+        own = np.flatnonzero((truth[h] >= 0) & ~held)
+        more = given[h, v]
+        told = np.concatenate((truth[h][own], np.array(list(more.values()), int))).astype(float)
+        known = [views[v][i] for i in own] + [extra[r][v] for r in more]
+        return fit_words(known, told) if v == 0 else fit(known, told, META_SLOTS)
+
+    heads = {h: Head(fitted(h, 0), fitted(h, 1)) for h in HEADS}
+    for _ in range(rounds):
+        chosen = confident(pool, heads, give, sure).collect()  # at most 8 * give rows
+        new = 0
+        for r in sorted(chosen, key=lambda r: (r.head, r.view, r.value, r.row)):
+            mine = given[r.head, 1 - r.view]
+            new += r.row not in mine
+            mine.setdefault(r.row, r.value)
+        wanted = sorted({x for told in given.values() for x in told} - extra.keys())
+        if not new:
+            break
+        if wanted:
+            ids = rows.sparkSession.createDataFrame([(x,) for x in wanted], "row long")
+            for r in rows.join(F.broadcast(ids), "row").select("row", "words", "meta").collect():
+                extra[r.row] = np.frombuffer(r.words, np.uint32), np.frombuffer(r.meta, np.uint32)
+        heads = {h: Head(fitted(h, 0), fitted(h, 1)) for h in HEADS}
+    for h in HEADS:
+        at = np.flatnonzero((truth[h] >= 0) & held)
+        x, y = (np.array([w[views[v][i]].sum() + w[-1] for i in at]) for v, w in enumerate((heads[h].words, heads[h].meta)))
+        heads[h] = calibrate(heads[h], x, y, truth[h][at])
+    return heads
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, cut: float = 0.5, toxic_cut: float = 0.4) -> DataFrame:
     """``doc_id, low_quality, toxicity, kept`` for every row of ``docs`` (``doc_id, text, lang, source, n_chars``).
 
     ``low_quality`` and ``toxicity`` are calibrated probabilities; a document is kept unless they are above ``cut`` and ``toxic_cut``.
-    The models are fitted on the driver on at most ``labelled`` rows of ``labels`` (``doc_id, quality, toxic``) and
-    ``unlabelled`` others; repeated labels of a document count as its worst. Without labels of both values a head says its only value, without any
-    nothing (0, not rejected). A null text is empty, null metadata a value of its own. Scoring is a scan without an exchange.
+    The models are fitted on at most ``labelled`` rows that ``labels`` (``doc_id, quality, toxic``) has a label of; repeated labels of a
+    document count as its worst, and a label without its document, or with a null id, is not used. The views exchange labels over all other rows.
+    Without labels of both values a head says its only value, without any nothing (0, not rejected). A null text is empty, null
+    metadata a value of its own; rows with null or repeated ids are scored each, and rows alike get the same scores. A very long text is read whole. Empty tables
+    give an empty one; other columns are ignored, whatever their names. Both views of each row are written to the shared folder once; every round, and
+    the scoring, is a scan of them without an exchange of rows.
     """
-    kind = docs.schema["doc_id"].dataType
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.col("n_chars").cast("long"))
-    heads = train(docs, labels, labelled, unlabelled)
-    told = docs.sparkSession.sparkContext.broadcast(heads)
+    rows = written(features(docs), "views")
+    told = rows.sparkSession.sparkContext.broadcast(train(rows, labels, labelled))
 
     def score(batches):
-        quality, toxic, edges = told.value
-        weights = _Weights(quality, toxic)
-        places = range(_STYLES)
-        for whole in batches:
-            for batch in by_chars(whole, "text"):
-                low, bad = [], []
-                for text, *meta in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
-                    kinds, figures = _read(text)
-                    total = sum(map(weights.__getitem__, kinds))
-                    bins = [int(np.searchsorted(edges[j], figures[j])) for j in places]
-                    named = metadata(*meta)
-                    for head, words, out in ((quality, total.real, low), (toxic, total.imag, bad)):
-                        x = words + sum(head.styles[j, bins[j]] for j in places) + head.text_bias
-                        y = sum(head.meta.get(k, 0.0) for k in named) + head.meta_bias
-                        a, b, c = head.combine
-                        z = a * max(-20.0, min(20.0, x)) + b * max(-20.0, min(20.0, y)) + c
-                        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(low, pa.float64()), pa.array(bad, pa.float64())], ["doc_id", "low_quality", "toxicity"])
-
-    out = docs.mapInArrow(score, f"doc_id {kind.simpleString()}, low_quality double, toxicity double")
+        for batch in batches:
+            raws = [batch.column(c).to_pylist() for c in ("words", "meta")]
+            out = [_sigmoid(h.logits(sums(raws[0], h.words), sums(raws[1], h.meta))) for h in (told.value[x] for x in HEADS)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], ["doc_id", "low_quality", "toxicity"])
+
+    out = rows.select("doc_id", "words", "meta").mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, low_quality double, toxicity double")
     return out.withColumn("kept", ~((F.col("low_quality") > cut) | (F.col("toxicity") > toxic_cut)))

@@ -393,7 +393,7 @@ def search(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarra
     return np.concatenate(counted) if counted else none, np.concatenate(single) if single else none[:, :3]
 
 
-def search_in_parts(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarray, stop: np.ndarray, order: np.ndarray, part: int = 1 << 16):
+def search_in_parts(sa: SuffixArray, ids: np.ndarray, sums: np.ndarray, starts: np.ndarray, stop: np.ndarray, order: np.ndarray, part: int = 1 << 20):
     """``search``, some starts at a time, which bounds its memory."""
     found = [search(sa, ids, sums, starts, stop, order[i : i + part]) for i in range(0, max(1, len(order)), part)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])

@@ -178,6 +178,104 @@ def test_classifier_without_labels(labelled, spark):
     assert cotraining.score_documents(docs.limit(0), labels).count() == 0
 
 
+def plain_views(text, lang, source, n_chars):
+    import re
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    return {cotraining.slot(w) for w in words}, set(cotraining.metadata(lang, source, n_chars, cotraining.figures(text or "", words, len(set(words)))))
+
+
+def test_classifier_scores_as_a_plain_one(labelled, spark):
+    docs, labels, rows = labelled
+    odd = [(None, None, None, None, None), (5000, "", "en", "src1", 0), (5001, "vile " * 30_000, "en", "src2", 150_000), (5001, "vile " * 30_000, "en", "src2", 150_000), rows[3], rows[3]]
+    every = rows + odd
+    frame = spark.createDataFrame([(*r, "x", 1.0) for r in every], "doc_id long, text string, lang string, source string, n_chars long, words string, style double").repartition(3)
+    twice = labels.unionByName(labels.limit(20)).unionByName(spark.createDataFrame([(None, 1, 1), (9999, 0, 0)], labels.schema))
+    views = cotraining.features(frame)
+    heads = cotraining.train(views, twice)
+    told = []
+    for i, *columns in every:
+        words, meta = plain_views(*columns)
+        p = []
+        for h in (heads["low"], heads["toxic"]):
+            (a, b), (c, d) = h.scales
+            u, v, w = h.combine
+            z = u * (a * (sum(h.words[k] for k in words) + h.words[-1]) + b) + v * (c * (sum(h.meta[k] for k in meta) + h.meta[-1]) + d) + w
+            p.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        told.append((i if i is not None else -1, round(float(p[0]), 6), round(float(p[1]), 6)))
+        assert min(h.combine[0] for h in heads.values()) >= 0 <= min(h.combine[1] for h in heads.values())
+    found = cotraining.score_documents(frame, twice).collect()
+    assert len(found) == len(every) and all(r.kept == (r.low_quality <= 0.5 and r.toxicity <= 0.4) for r in found)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.low_quality, r.toxicity) for r in found)
+    assert all(abs(x - y) < 1e-3 for g, t in zip(got, sorted(told)) for x, y in zip(g, t))
+
+
+def test_surest_rows_are_those_of_all(labelled):
+    docs, labels, _ = labelled
+    views = cotraining.features(docs.repartition(5))
+    heads = cotraining.train(views, labels, rounds=0)
+    every = views.collect()
+    for give in (3, 10_000):
+        found = {}
+        for r in cotraining.confident(views, heads, give, 0.6).collect():
+            found.setdefault((r["head"], r["view"], r["value"]), set()).add(r["row"])
+        for (name, view, value), got in found.items():
+            w = heads[name].meta if view else heads[name].words
+            p = {r.row: 1 / (1 + np.exp(-(w[np.frombuffer(r.meta if view else r.words, np.uint32)].sum() + w[-1]))) for r in every}
+            sure = sorted(((x if value else 1 - x, -i) for i, x in p.items() if (x if value else 1 - x) >= 0.6), reverse=True)[:give]
+            assert len(got) == len(sure) and min(p[i] if value else 1 - p[i] for i in got) == pytest.approx(sure[-1][0])
+
+
+def test_views_teach_each_other(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(1200):
+        bad = rng.random() < 0.4
+        # Labelled pages only show one bad word; the other bad word is told by its pages' source, and shows alone where the source tells nothing.
+        kind = "labelled" if i < 400 else "bridge" if i < 1000 else "new"
+        word = "grumble" if kind == "labelled" else "zonk"
+        text = some_text(rng, 40) + (f" {word}" if bad else "")
+        source = f"fresh{i}" if kind == "new" else ("farm" if bad else "press")
+        rows.append((i, text, "en", source, 300))
+        if kind == "labelled":
+            labels.append((i, 0 if bad else 1, 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    views = cotraining.features(docs)
+    alone, taught = (cotraining.train(views, marks, rounds=n)["low"].words for n in (0, 3))
+    assert alone[cotraining.slot("zonk")] == 0 and taught[cotraining.slot("zonk")] > 1
+    found = by_id(cotraining.score_documents(docs, marks))
+    new = [r for r in rows if r[3].startswith("fresh")]
+    assert np.mean([found[r[0]].low_quality for r in new if "zonk" in r[1]]) > np.mean([found[r[0]].low_quality for r in new if "zonk" not in r[1]]) + 0.2
+
+
+def test_calibration_converges():
+    rng = np.random.default_rng(3)
+    y = (rng.random(200) < 0.2).astype(int)
+    for spread in (0.5, 5.0, 500.0):
+        good, noise, against = y * 2 * spread - spread + rng.normal(0, spread / 3, 200), rng.normal(0, spread, 200), spread - 2 * spread * y
+        base = cotraining._loss(np.full(200, np.log(y.mean() / (1 - y.mean()))), y)
+        head = cotraining.calibrate(cotraining.Head(np.zeros(1), np.zeros(1)), good, noise, y)
+        assert cotraining._loss(head.logits(good, noise), y) < 0.3 * base
+        head = cotraining.calibrate(cotraining.Head(np.zeros(1), np.zeros(1)), noise, against, y)
+        assert head.combine[1] * head.scales[1][0] == 0 and cotraining._loss(head.logits(noise, against), y) < 1.05 * base
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_both_views_are_better_than_each(spark, sf, monkeypatch):
+    seen, plain = [], cotraining.calibrate
+
+    def watched(head, words, meta, labels):
+        out = plain(head, words, meta, labels)
+        (a, b), (c, d) = out.scales
+        seen.append([cotraining._loss(z, labels) / len(labels) for z in (out.logits(words, meta), a * words + b, c * meta + d)])
+        return out
+
+    monkeypatch.setattr(cotraining, "calibrate", watched)
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    cotraining.train(cotraining.features(docs), spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"))
+    assert len(seen) == 2 and all(both <= min(one, two) + 0.005 for both, one, two in seen)
+
+
 # 4
 
 
