@@ -11,11 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 _places: list[str] = []
 
 
+def qualified(spark: SparkSession, place: str) -> str:
+    """``place`` with the scheme of its file system, so that Spark and other readers mean the same folder by it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, is a temporary folder made."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``, with its scheme. Only where that is unset, as in tests on one machine, is a temporary folder made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
-        return root.rstrip("/")
+        return qualified(spark, root.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="rillbase-")
@@ -30,12 +37,19 @@ def shared_place(spark: SparkSession, tag: str) -> str:
     return place
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete what this process has written to the shared folder. Results that still read from it must have been used before."""
+def places_so_far() -> int:
+    """A mark for ``forget``: what is written later is what it may delete."""
+    return len(_places)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what this process has written to the shared folder since a mark, but for the last ``keep`` places. Results that still read from it must have been used before."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    while _places:
-        place = hadoop.Path(_places.pop())
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    end = len(_places) - keep
+    for place in _places[since:end]:
+        path = hadoop.Path(place)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _places[since : max(since, end)]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
