@@ -4,7 +4,8 @@ Every distinct set of five-word shingles has a 256-bit SimHash. Several tables e
 sets by a few sampled coordinates; a bucket above the cap is split by additional sampled
 coordinates, in several draws so that a pair at the threshold stays together in one of them;
 candidates within the Hamming bound are verified by the Jaccard similarity of their shingles.
-Verified links become classes. Where a group is large, a member names only its nearest
+Verified links become classes. Sets of a few shingles, whose SimHashes differ most, are linked exactly, by what is left of them
+without one or two shingles. Where a group is large, a member names only its nearest
 candidates at first, and all its candidates of other classes in a second round.
 """
 
@@ -26,6 +27,8 @@ BITS, TABLES, SAMPLED, CAP, NEAREST = 256, 32, 10, 512, 4
 DISTANCE = 60
 #: The chance that a bit of two sets at similarity 0.8 agrees.
 AGREE = 0.8485
+#: Shingles of a set that is linked exactly as well, at most. The smaller of two linked sets has nine at least where the larger has more.
+SHORT = 11
 
 _SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1).astype(np.float32)
 _PLACES = (np.arange(BITS // 8) * 256).astype(np.int64)
@@ -48,20 +51,63 @@ def _coordinates(tables: int, sampled: int) -> np.ndarray:
     return np.stack([rng.choice(BITS, sampled, replace=False) for _ in range(tables)])
 
 
+def _name(values: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set of hashes; names of sets without common elements add up."""
+    with np.errstate(over="ignore"):
+        return int(mix(values).sum().astype(np.int64)), int(mix(values ^ _WORDS[1]).sum().astype(np.int64))
+
+
+def _rests(s: np.ndarray) -> bytes:
+    """For a set of 4 to ``SHORT`` hashes the names of what is left of it without none, one or two of them, and how many: 64-bit numbers, packed."""
+    n = len(s)
+    if not 4 <= n <= SHORT:
+        return b""
+    with np.errstate(over="ignore"):
+        one, two = mix(s), mix(s ^ _WORDS[1])
+        a, b = one.sum(), two.sum()
+        out = [(a, b, 0)]
+        out += [(a - one[i], b - two[i], 1) for i in range(n) if n > 4]
+        # Two sets at 0.8 of which one has two more have 8 and 10 at least.
+        out += [(a - one[i] - one[j], b - two[i] - two[j], 2) for i in range(n) for j in range(i) if n > 9]
+    return np.array(out, np.uint64).tobytes()
+
+
+def short_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join all sets of at most ``SHORT`` shingles that are similar enough (0.8 at least), exactly.
+
+    Sets that share a rest have that in common and differ in what was taken away, so what each lost tells whether they are similar. The set that
+    lost least is linked with the others: if any two are similar, so is each with it.
+    """
+
+    def rests(batches):
+        for batch in batches:
+            raws = batch.column("rests").to_pylist()
+            table = np.frombuffer(b"".join(raws), np.uint64).reshape(-1, 3).astype(np.int64)
+            times = np.array([len(r) // 24 for r in raws], np.int64)
+            columns = [table[:, 0], table[:, 1], table[:, 2], *(np.repeat(batch.column(c).to_numpy(), times) for c in ("id", "n"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "lost", "id", "n"])
+
+    keyed = sets.where(f"n between 4 and {SHORT}").select("id", "n", "rests").mapInArrow(rests, "one long, two long, lost long, id long, n long")
+    least = keyed.groupBy("one", "two").agg(F.min(F.struct("lost", "id")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    rest = F.col("n") - F.col("lost")
+    alike = rest >= similarity * (rest + F.col("lost") + F.col("least.lost")) - 1e-9
+    return keyed.join(least, ["one", "two"]).where(alike & (F.col("id") != F.col("least.id"))).select(F.least("id", "least.id").alias("a"), F.greatest("id", "least.id").alias("b")).distinct()
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, set1, set2, bits``: size, 128-bit name of the shingle set and packed SimHash; no row for a text without words."""
+    """``doc_id, n, set1, set2, bits, rests``: size, 128-bit name of the shingle set, packed SimHash, and of a small set its rests; no row for a text without words."""
 
     def describe(batches):
         for whole in batches:
             for batch in by_chars(whole, "text", 2_000_000):
                 ids, sets = batch.column("doc_id").to_pylist(), text_shingles(batch.column("text").to_pylist())
-                with np.errstate(over="ignore"):
-                    names = [(len(s), np.int64(mix(s).sum().astype(np.int64)), np.int64(mix(s ^ _WORDS[1]).sum().astype(np.int64)), np.packbits(simhash(s)).tobytes()) for s in sets if len(s)]
                 kept = [i for i, s in zip(ids, sets) if len(s)]
-                n, one, two, bits = zip(*names) if names else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "set1", "set2", "bits"])
+                names = [(len(s), *_name(s), np.packbits(simhash(s)).tobytes(), _rests(s)) for s in sets if len(s)]
+                columns = list(zip(*names)) or [()] * 5
+                kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n", "set1", "set2", "bits", "rests"])
 
-    return texts_of(docs).where("doc_id is not null").mapInArrow(describe, "doc_id long, n long, set1 long, set2 long, bits binary")
+    return texts_of(docs).where("doc_id is not null").mapInArrow(describe, "doc_id long, n long, set1 long, set2 long, bits binary, rests binary")
 
 
 def bucket_rows(sets: DataFrame, tables: int = TABLES, sampled: int = SAMPLED) -> DataFrame:
@@ -251,10 +297,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, tables: int = TABL
     or dropped together. Equal sets are one representative from the start, so copies are never compared with each other.
     """
     facts = written(features(docs), "simhash")
-    sets = facts.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("id"), F.min("bits").alias("bits"))
-    sets = written(sets.select("id", "set1", "set2", "n", "bits"), "simhash-sets")
+    sets = facts.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("id"), F.min("bits").alias("bits"), F.min("rests").alias("rests"))
+    sets = written(sets.select("id", "set1", "set2", "n", "bits", "rests"), "simhash-sets")
     found = written(bucket_pairs(bucket_rows(sets, tables, sampled), cap, distance), "simhash-pairs")
-    links = written(verified(found.where("kind = 0").select("a", "b", "apart"), docs, similarity), "links")
+    links = verified(found.where("kind = 0").select("a", "b", "apart"), docs, similarity)
+    links = written(links.unionByName(short_links(sets, similarity)), "links")
     rest = found.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("id"), "bits")
     if not rest.isEmpty():
         # What large groups left for later: all candidates whose ends are in different classes.
