@@ -46,7 +46,9 @@ def repeated_words(words: Column, window: int = 8) -> Column:
         return _let(_let(placed, places), union)
 
     def count(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
+        # Each word is hashed once, and a window by the hashes of its words.
+        grams = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, window)))
+        hashes = _let(F.transform(w, lambda x: F.xxhash64(x)), grams)
         return F.when(F.size(w) < window + 1, 0).otherwise(_let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))))
 
     return _let(words, count)
@@ -69,18 +71,19 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, host, line, n`` (hash of the normalised line, words in it) for every line that has a word."""
+    """``doc_id, host, line, other, n`` (two 64-bit hashes of the normalised line, words in it) for every line that has a word."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     lines = F.transform(F.split(text, "\n"), words_of)
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(lines).alias("words"))
-    return rows.select("doc_id", "host", F.xxhash64(F.array_join("words", " ")).alias("line"), F.size("words").alias("n")).where("n > 0")
+    line = F.array_join("words", " ")
+    return rows.select("doc_id", "host", F.xxhash64(line).alias("line"), F.xxhash64(F.lit(7), line).alias("other"), F.size("words").alias("n")).where("n > 0")
 
 
 def frequent_lines(docs: DataFrame, share: float, least_docs: int) -> DataFrame:
-    """``host, line``: lines held by more distinct documents of the host than ``least_docs`` and than ``share`` of them all."""
-    counts = line_rows(docs).groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n_docs")).where(F.col("n_docs") > least_docs)
+    """``host, line, other``: lines held by more distinct documents of the host than ``least_docs`` and than ``share`` of them all."""
+    counts = line_rows(docs).groupBy("host", "line", "other").agg(F.count_distinct("doc_id").alias("n_docs")).where(F.col("n_docs") > least_docs)
     hosts = docs.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count_distinct("doc_id").alias("of"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > share * F.col("of")).select("host", "line")
+    return counts.join(hosts, "host").where(F.col("n_docs") > share * F.col("of")).select("host", "line", "other")
 
 
 def quality_rules(docs: DataFrame, share: float = 0.01, least_docs: int = 10, most_removed: float = 0.5) -> DataFrame:
@@ -95,7 +98,7 @@ def quality_rules(docs: DataFrame, share: float = 0.01, least_docs: int = 10, mo
     """
     docs = docs.select("doc_id", "text", "source")
     frequent = frequent_lines(docs, share, least_docs)
-    removed = line_rows(docs).where("doc_id is not null").join(frequent, ["host", "line"]).groupBy("doc_id").agg(F.sum("n").alias("removed_words"))
+    removed = line_rows(docs).where("doc_id is not null").join(frequent, ["host", "line", "other"]).groupBy("doc_id").agg(F.sum("n").alias("removed_words"))
     facts = base_rules(docs).join(removed, "doc_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     depleted = F.col("removed_words") > most_removed * F.col("n_words")
     return facts.withColumn("kept", ~F.col("base_failed") & ~depleted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
