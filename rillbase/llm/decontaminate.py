@@ -11,10 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars, texts_of
+from rillbase.llm.common import by_chars, shared_place, texts_of
 from rillbase.llm.shingles import mix
 
 Q, RATE, BLOCK_BYTES = 12, 0.06, 4 << 20
@@ -160,28 +162,42 @@ def _bands(texts, items, begins, at, slot):
         yield best
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[str, int]:
+    """Where the items were written in blocks, and how many these are."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    place, blocks = shared_place(benchmark.sparkSession, "items"), max(1, -(-size // block_bytes))
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).write.partitionBy("block").parquet(place)
+    return place, blocks
+
+
+def _items(place: str, b: int, rate: float) -> Items:
+    """The items of one block, which a task reads for itself: no driver holds them."""
+    fs, base = pafs.FileSystem.from_uri(place) if "://" in place else (pafs.LocalFileSystem(), place)
+    rows = []
+    if fs.get_file_info(f"{base}/block={b}").type == pafs.FileType.Directory:
+        table = pads.dataset(f"{base}/block={b}", filesystem=fs, format="parquet").to_table(columns=["item_id", "text"])
+        rows = sorted(zip(table.column("item_id").to_pylist(), map(folded, table.column("text").to_pylist())), key=lambda r: (r[0] is not None, r[0], r[1]))
+    return Items([i for i, _ in rows], [t for _, t in rows], rate)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, begin, end, edits``: every benchmark item found in a document within its edit budget.
 
     Texts and items are compared folded (lower case, single spaces), and ``begin`` and ``end`` are characters of the folded
     text. An item's budget is ``rate`` of its length, less where no q-gram would stay whole; items under ``Q`` characters
-    match as they are, those without text never. Items are taken in blocks of about ``block_bytes`` characters, which bounds what is
-    broadcast and held; each block is one scan of the documents, without an exchange. Null texts match nothing; rows that share
+    match as they are, those without text never. Items are taken in blocks of about ``block_bytes`` characters, which bounds what a task
+    holds; each block is one scan of the documents, without an exchange. Null texts match nothing; rows that share
     a ``doc_id`` give theirs each, and items that share an ``item_id`` theirs. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
     docs = texts_of(docs)
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    place, blocks = _blocks(benchmark, block_bytes)
     schema = "doc_id long, item_id long, begin long, end long, edits long"
     out = None
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        told = spark.sparkContext.broadcast([(r.item_id, folded(r.text)) for r in rows])
 
-        def find(batches, told=told):
-            block = Items([i for i, _ in told.value], [t for _, t in told.value], rate)
+        def find(batches, b=b):
+            block = _items(place, b, rate)
             for whole in batches:
                 for batch in by_chars(whole, "text", 1_000_000):
                     ids, texts = batch.column("doc_id").to_pylist(), [folded(t) for t in batch.column("text").to_pylist()]
@@ -194,7 +210,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found."""
-    leaks = contamination(docs, benchmark, rate).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, as they are. Each row is judged by its own text, whether its ``doc_id`` is null or
+    repeated; null texts stay. A scan for each block of items, without an exchange."""
+    place, blocks = _blocks(benchmark, block_bytes)
+    for b in range(blocks):
+
+        def keep(batches, b=b):
+            block = _items(place, b, rate)
+            for whole in batches:
+                for batch in by_chars(whole, "text", 1_000_000):
+                    hits = {n for n, *_ in occurrences([folded(t or "") for t in batch.column("text").to_pylist()], block)}
+                    yield batch.filter(pa.array([n not in hits for n in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
