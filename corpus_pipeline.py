@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 
 from rillbase.llm import cotraining, decontaminate, packing, simhash, suffixes
 from rillbase.llm.common import written
+from rillbase.storage import forget, places_so_far
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    scored = cotraining.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the classifier rejects go, each row by its own score: null and repeated ids as well. Null texts and empty tables are scored as empty."""
+    scored = cotraining.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), more=tuple(COLUMNS[1:]))
+    return scored.where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: that with the least id."""
+    """One document of each class of near-duplicates stays: that with the least id. Rows with a null id all stay, and rows that share an id go or stay
+    together; so do texts without words."""
     dropped = simhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -36,11 +37,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item go."""
+    """Documents with a benchmark item go, each row by its own text."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, null and repeated ids included."""
     return packing.pack_documents(docs)
 
 
@@ -51,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and read again; what earlier stages wrote there is deleted."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), places_so_far()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        forget(spark, mark, keep=1)
     return docs

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars, texts_of, written
+from rillbase.llm.common import by_chars, written
 
 #: Labelled rows that the models are fitted on at most. Everything else covers all documents.
 LABELLED_ROWS = 12_000
@@ -188,11 +188,8 @@ def sums(raws: list[bytes], w: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.concatenate(([0], ends[:-1]))] + w[-1] if raws else np.zeros(0)
 
 
-_FEATURES = "row long, doc_id {}, words binary, meta binary"
-
-
-def features(docs: DataFrame) -> DataFrame:
-    """Both views of every document as sets of slots, and a number for each row."""
+def features(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Both views of every document as sets of slots, and a number for each row; and the document's columns in ``more``."""
 
     def describe(batches):
         slots, row = _Slots(), TaskContext.get().partitionId() << 40
@@ -200,15 +197,18 @@ def features(docs: DataFrame) -> DataFrame:
             for batch in by_chars(whole, "text"):
                 words, meta = [], []
                 for text, *columns in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
+                    text = text or ""
                     found = _WORD.findall(text.lower())
                     kinds = set(found)
                     words.append(np.unique(np.fromiter(map(slots.__getitem__, kinds), np.uint32, len(kinds))).tobytes())
                     meta.append(np.array(sorted(set(metadata(*columns, figures(text, found, len(kinds))))), np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(meta, pa.binary())], ["row", "doc_id", "words", "meta"])
+                columns = [pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(meta, pa.binary()), *map(batch.column, more)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "words", "meta", *more])
                 row += batch.num_rows
 
-    docs = texts_of(docs, "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    return docs.mapInArrow(describe, _FEATURES.format(docs.schema["doc_id"].dataType.simpleString()))
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    kinds = [*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]
+    return docs.mapInArrow(describe, ", ".join([f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary, meta binary", *kinds]))
 
 
 def labels_of(labels: DataFrame) -> DataFrame:
@@ -294,8 +294,8 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, rou
     return heads
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, cut: float = 0.5, toxic_cut: float = 0.4) -> DataFrame:
-    """``doc_id, low_quality, toxicity, kept`` for every row of ``docs`` (``doc_id, text, lang, source, n_chars``).
+def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, cut: float = 0.5, toxic_cut: float = 0.4, more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, low_quality, toxicity, kept`` for every row of ``docs`` (``doc_id, text, lang, source, n_chars``), and its columns of these in ``more``.
 
     ``low_quality`` and ``toxicity`` are calibrated probabilities; a document is kept unless they are above ``cut`` and ``toxic_cut``.
     The models are fitted on at most ``labelled`` rows that ``labels`` (``doc_id, quality, toxic``) has a label of; repeated labels of a
@@ -305,14 +305,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
     give an empty one; other columns are ignored, whatever their names. Both views of each row are written to the shared folder once; every round, and
     the scoring, is a scan of them without an exchange of rows.
     """
-    rows = written(features(docs), "views")
+    rows = written(features(docs, more), "views")
     told = rows.sparkSession.sparkContext.broadcast(train(rows, labels, labelled))
 
     def score(batches):
         for batch in batches:
             raws = [batch.column(c).to_pylist() for c in ("words", "meta")]
             out = [_sigmoid(h.logits(sums(raws[0], h.words), sums(raws[1], h.meta))) for h in (told.value[x] for x in HEADS)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], ["doc_id", "low_quality", "toxicity"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out), *map(batch.column, more)], ["doc_id", "low_quality", "toxicity", *more])
 
-    out = rows.select("doc_id", "words", "meta").mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, low_quality double, toxicity double")
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more)]
+    out = rows.select("doc_id", "words", "meta", *more).mapInArrow(score, ", ".join([kinds[0], "low_quality double, toxicity double", *kinds[1:]]))
     return out.withColumn("kept", ~((F.col("low_quality") > cut) | (F.col("toxicity") > toxic_cut)))

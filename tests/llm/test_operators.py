@@ -360,15 +360,37 @@ def test_contamination(spark, docs, corpus):
             planted.add((n, k))
         rows.append((n, text))
     found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), block_bytes=300)
-    got = {(r.doc_id, r.item_id): r for r in found.collect()}
+    every = found.collect()
+    got = {(r.doc_id, r.item_id): r for r in every}
     assert planted <= set(got)
+    # Exactly what brute force finds: every item within its budget of some part of a text, and no other.
+    told = {}
+    for n, text in rows:
+        for k, item in enumerate(items):
+            item = decontaminate.folded(item or "")
+            budget = min(int(0.06 * len(item)), max(0, len(item) // decontaminate.Q - 1))
+            if item and (edits := brute.edit_distance_within(item, decontaminate.folded(text))) <= budget:
+                told[n, k] = edits
+    assert set(got) == set(told)
     for (n, k), r in got.items():
-        item, text = decontaminate.folded(items[k]), decontaminate.folded(rows[n][1])
-        assert r.edits == brute.edit_distance_within(item, text) or r.edits <= int(0.06 * len(item))
-        assert brute.edit_distance_within(item, text[r.begin : r.end]) <= r.edits
+        assert brute.edit_distance_within(decontaminate.folded(items[k]), decontaminate.folded(rows[n][1])[r.begin : r.end]) <= r.edits
+    assert all(min(r.edits for r in every if (r.doc_id, r.item_id) == at) == told[at] for at in told)
     assert decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_contamination_of_odd_rows(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(None, f"so {item} it was"), (3, item), (3, item), (4, None), (5, ""), (6, "x " * 40_000 + item + " y" * 40_000), (7, f"{item} and {item}")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
+    marks = spark.createDataFrame([(1, item, 0), (1, item, 0), (2, item.upper(), 0), (None, item, 0), (9, None, 0)], "item_id long, text string, doc_id int")
+    found = [(r.doc_id, r.item_id, r.edits) for r in decontaminate.contamination(docs, marks).collect()]
+    for doc, times in ((None, 1), (3, 2), (6, 1), (7, 2)):
+        for at, again in ((1, 2), (2, 1), (None, 1)):
+            assert found.count((doc, at, 0)) in (times, times * again), (doc, at)
+    assert not [f for f in found if f[0] in (4, 5) or f[1] == 9]
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, marks).orderBy("doc_id").collect()] == [4, 5]
+
+
 # 6
 
 
@@ -421,6 +443,35 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_small_sets_are_linked_exactly(spark):
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(16)] for _ in range(60)]
+    texts = []
+    for words in base:
+        for n in range(8, 16):
+            texts.append(" ".join(words[:n]))  # 4 to 11 shingles
+        for _ in range(3):
+            other = words[: rng.randrange(9, 16)]
+            other[0 if rng.random() < 0.5 else -1] = f"z{rng.randrange(99)}"
+            texts.append(" ".join(other))
+    rows = list(enumerate(texts))
+    found = by_id(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tables=1, distance=-1))  # nothing but the exact links
+    assert {i: r.class_id for i, r in found.items()} == brute.near_classes(rows)
+
+
+@pytest.mark.parametrize("small,large", [(4, 5), (8, 10), (12, 15), (16, 20), (40, 50), (200, 250)])
+def test_recall_at_the_threshold_by_size(spark, small, large):
+    """Pairs at a similarity of 0.8, the hardest that count: for each size of sets more than 0.985 of 500 are linked."""
+    rng = random.Random(small)
+    rows = []
+    for k in range(500):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(large + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: small + 4]))]
+    found = by_id(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    linked = sum(found[2 * k + 1].class_id == 2 * k for k in range(500))
+    assert linked >= 0.985 * 500 and len({r.class_id for r in found.values()}) == 1000 - linked
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, k) for k in range(301, 330)]
