@@ -16,11 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars, written
+from rillbase.llm.common import by_chars, shared_place, written
 
 #: Labelled rows that the models are fitted on at most. Everything else covers all documents.
 LABELLED_ROWS = 12_000
@@ -192,7 +194,7 @@ def features(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Both views of every document as sets of slots, and a number for each row; and the document's columns in ``more``."""
 
     def describe(batches):
-        slots, row = _Slots(), TaskContext.get().partitionId() << 40
+        slots, row = _Slots(), TaskContext.get().partitionId() << _PART
         for whole in batches:
             for batch in by_chars(whole, "text"):
                 words, meta = [], []
@@ -217,8 +219,25 @@ def labels_of(labels: DataFrame) -> DataFrame:
     return marks.where("low is not null or toxic is not null")
 
 
-def confident(rows: DataFrame, heads: dict[str, Head], give: int, sure: float) -> DataFrame:
-    """``head, view, value, row``: of ``rows`` the ``give`` that each view is surest of, for each head and value, if at least ``sure``.
+_PART = 40
+
+
+def _labelled(place: str, numbers: np.ndarray, seen: dict[int, np.ndarray]) -> np.ndarray:
+    """Which of these rows have a label, by the lists at ``place``: one for each task that numbered rows, read when its rows come by."""
+    fs, base = pafs.FileSystem.from_uri(place) if "://" in place else (pafs.LocalFileSystem(), place)
+    out = np.zeros(len(numbers), bool)
+    for part in np.unique(numbers >> _PART).tolist():
+        if part not in seen:
+            seen.clear()
+            there = fs.get_file_info(f"{base}/part={part}").type == pafs.FileType.Directory
+            seen[part] = pads.dataset(f"{base}/part={part}", filesystem=fs, format="parquet").to_table(columns=["row"]).column("row").to_numpy() if there else np.zeros(0, np.int64)
+        out |= np.isin(numbers, seen[part])
+    return out
+
+
+def confident(rows: DataFrame, heads: dict[str, Head], give: int, sure: float, labelled: str | None = None) -> DataFrame:
+    """``head, view, value, row``: of the ``rows`` without a label (lists of those with one are at ``labelled``) the ``give`` that each view is surest
+    of, for each head and value, if at least ``sure``.
 
     Every row is scored; a task passes on its own surest only, and of these the surest of all are taken.
     """
@@ -226,7 +245,10 @@ def confident(rows: DataFrame, heads: dict[str, Head], give: int, sure: float) -
 
     def score(batches):
         best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        seen: dict[int, np.ndarray] = {}
         for batch in batches:
+            if labelled:
+                batch = batch.filter(pa.array(~_labelled(labelled, batch.column("row").to_numpy(), seen)))
             number = batch.column("row").to_numpy()
             for name, head in told.value.items():
                 for view, (column, w) in enumerate((("words", head.words), ("meta", head.meta))):
@@ -249,18 +271,21 @@ def confident(rows: DataFrame, heads: dict[str, Head], give: int, sure: float) -
 
 def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, rounds: int = ROUNDS, give: int = GIVE, sure: float = CONFIDENT) -> dict[str, Head]:
     """The heads, fitted on the driver on at most ``labelled`` labelled rows of ``rows`` (``features``) and what the views gave each other."""
-    marks = labels_of(labels)
-    known = rows.join(marks, "doc_id")
+    spark = rows.sparkSession
+    # Only ids and numbers of rows are exchanged to find out which rows have labels; the views stay where they are.
+    known = written(rows.select("row", "doc_id").join(labels_of(labels), "doc_id").select("row", "low", "toxic"), "labelled")
+    listed = shared_place(spark, "labelled-rows")
+    known.select(F.shiftright("row", _PART).alias("part"), "row").repartition("part").write.partitionBy("part").parquet(listed)
     n = known.count()
     if n > labelled:
         # A share by hash, and no more than the bound.
         known = known.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(labelled / n * (1 << 30))).limit(labelled)
-    table = known.select("row", "words", "meta", "low", "toxic").toArrow()
+    known = spark.createDataFrame([tuple(r) for r in known.collect()], "row long, low int, toxic int")  # at most ``labelled`` rows of three numbers
+    table = rows.join(F.broadcast(known), "row").select("row", "words", "meta", "low", "toxic").toArrow()
     order = np.argsort(table.column("row").to_numpy(), kind="stable")
     views = [[np.frombuffer(table.column(c)[i].as_py(), np.uint32) for i in order.tolist()] for c in ("words", "meta")]
     truth = {h: np.array([-1 if x is None else int(x > 0) for x in table.column(h).to_pylist()], int)[order] for h in HEADS}
     held = np.arange(len(order)) % 4 == 3  # for calibration
-    pool = rows.join(marks.select("doc_id"), "doc_id", "left_anti")
     given: dict[tuple, dict[int, int]] = {(h, v): {} for h in HEADS for v in (0, 1)}
     extra: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -273,7 +298,7 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, rou
 
     heads = {h: Head(fitted(h, 0), fitted(h, 1)) for h in HEADS}
     for _ in range(rounds):
-        chosen = confident(pool, heads, give, sure).collect()  # at most 8 * give rows
+        chosen = confident(rows, heads, give, sure, listed).collect()  # at most 8 * give rows
         new = 0
         for r in sorted(chosen, key=lambda r: (r.head, r.view, r.value, r.row)):
             mine = given[r.head, 1 - r.view]
@@ -283,7 +308,7 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, rou
         if not new:
             break
         if wanted:
-            ids = rows.sparkSession.createDataFrame([(x,) for x in wanted], "row long")
+            ids = spark.createDataFrame([(x,) for x in wanted], "row long")
             for r in rows.join(F.broadcast(ids), "row").select("row", "words", "meta").collect():
                 extra[r.row] = np.frombuffer(r.words, np.uint32), np.frombuffer(r.meta, np.uint32)
         heads = {h: Head(fitted(h, 0), fitted(h, 1)) for h in HEADS}
