@@ -118,12 +118,14 @@ def numbered(df: DataFrame, *order: str, name: str = "rec#", by: tuple[str, ...]
 
     The whole table is numbered without gathering it: range partitions are sorted and counted, and
     a partition's numbers start after those of the partitions before it. The sorted rows are written to the
-    shared folder once, since ranges come from samples and would not be the same the next time.
+    shared folder once, since ranges come from samples and would not be the same the next time. Rows that the order
+    leaves equal are numbered by all their attributes, so the numbers are always the same.
     """
+    ties = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
     if by:
-        keys = [SortKey.read(s).order(df) for s in order]
+        keys = [*(SortKey.read(s).order(df) for s in order), *ties]
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*keys)).cast("long"))
-    keys = [SortKey.read(s).order(df) for s in order]
+    keys = [*(SortKey.read(s).order(df) for s in order), *ties]
     rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33)
     counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

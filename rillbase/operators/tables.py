@@ -38,11 +38,13 @@ def insert_from(base: DataFrame, rows: DataFrame, renames: dict[str, str] | None
     return base.unionByName(rows.select(*values))
 
 
-def ordered_merge(base: DataFrame, rows: DataFrame, keys: list[str], policy: str = "all", limit: int | None = None) -> DataFrame:
+def ordered_merge(base: DataFrame, rows: DataFrame, keys: list[str], policy: str = "all", limit: int | None = None, exactly: int | None = None) -> DataFrame:
     """``rows`` merged into ``base`` by ``keys``: ``all`` keeps everything, ``unique`` only rows whose key is new, ``replace`` puts rows in the place of those with their key.
 
-    Of ``rows`` with one key the least row counts, unless all are kept. More than ``limit`` merged rows are an error.
+    Of ``rows`` with one key the least row counts, unless all are kept. More than ``limit`` merged rows are an error, and so are other than ``exactly``.
     """
+    if exactly is not None and rows.limit(exactly + 1).count() != exactly:
+        raise ValueError(f"not {exactly} rows to merge")
     if limit is not None and rows.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} rows to merge")
     names = [SortKey.read(k).name for k in keys]
@@ -54,6 +56,34 @@ def ordered_merge(base: DataFrame, rows: DataFrame, keys: list[str], policy: str
     return base.unionByName(one.join(base.select(*names), names, "left_anti").select(*rows.columns))
 
 
+def merge_numbers(base: DataFrame, rows: DataFrame, keys: list[str], order: tuple[str, ...], policy: str = "unique") -> DataFrame:
+    """``rows`` that ``ordered_merge`` would put into ``base``, numbered from 1: ``recQ#`` among all rows in ``order``, ``recK#`` among the first of each
+    key, ``recM#`` among those merged. ``order`` must tell the rows apart."""
+    names = [SortKey.read(k).name for k in keys]
+    asked = numbered(rows, *order, name="recQ#")
+    first = asked.groupBy(*names).agg(F.min(F.struct("`recQ#`", *[F.col(f"`{c}`") for c in rows.columns if c not in names])).alias("_r")).select(*names, "_r.*")
+    kept = numbered(first, "recQ#:numeric", name="recK#")
+    if policy == "unique":
+        kept = kept.join(base.select(*names).distinct(), names, "left_anti")
+    return numbered(kept, "recK#:numeric", name="recM#").select(*rows.columns, "`recQ#`", "`recK#`", "`recM#`")
+
+
+def merge_by_record(base: DataFrame, rows: DataFrame, order: tuple[str, ...], at: str, policy: str = "replace", exactly: int | None = None) -> DataFrame:
+    """``rows`` merged into ``base`` by the record number that their attribute ``at`` names: ``replace`` puts a row in the place of that record,
+    ``insert`` before it. The result has ``rec#``, its records numbered anew; a number beyond the table appends.
+
+    ``base`` is numbered in ``order``. With ``exactly`` another number of rows is an error.
+    """
+    if exactly is not None and (n := rows.limit(exactly + 1).count()) != exactly:
+        raise ValueError(f"{exactly} rows are to be merged, not {'more' if n > exactly else n}")
+    old = numbered(base, *order, name="_rec").withColumn("_new", F.lit(1))
+    new = rows.select(*base.columns, F.col(at).cast("long").alias("_rec")).withColumn("_new", F.lit(0))
+    if policy == "replace":
+        old = old.join(new.select("_rec").distinct(), "_rec", "left_anti")
+    both = old.select(*base.columns, "_rec", "_new").unionByName(new)
+    return numbered(both, "_rec:numeric", "_new:numeric", *order).drop("_rec", "_new")
+
+
 def difference(one: DataFrame, two: DataFrame, keys: list[str], compare: list[str] | dict[str, str] | None = None, ignore: list[str] = (), show: list[str] = (), kinds: dict[str, str] | None = None) -> DataFrame:
     """A keyed comparison: ``<keys>, status, differs, <show>...``.
 
@@ -93,6 +123,12 @@ def difference(one: DataFrame, two: DataFrame, keys: list[str], compare: list[st
     return told.withColumn("status", status).where("status is not null").select(*keys, "status", "differs", *[F.col(f"`1.{c}`").alias(c) for c in show])
 
 
+def only(diff: DataFrame, extra: tuple[str, ...] = ("1", "2"), differing: bool = True) -> DataFrame:
+    """A comparison without the rows that only the tables not in ``extra`` have, and without those that differ."""
+    shown = [f"extra{t}" for t in extra] + ["differ"] * differing
+    return diff.where(F.col("status").isin(shown))
+
+
 def difference_counts(diff: DataFrame) -> DataFrame:
     """``status, records`` of a comparison."""
     return diff.groupBy("status").agg(F.count(F.lit(1)).alias("records"))
@@ -111,6 +147,25 @@ def from_packets(packets: DataFrame, names: list[str]) -> DataFrame:
     return packets.groupBy("packet").agg(*cells).select("packet", *names)
 
 
+def packet_text(packets: DataFrame) -> DataFrame:
+    """``value``: each packet of ``packet, name, value`` as text: a line of five marks with its number, then a line of name and value for each
+    attribute in the order of the names' places (``at``, if there) or of the names. A line end in a value goes on in a line that begins with a tab."""
+    place = F.col("at") if "at" in packets.columns else F.lit(0)
+    lines = F.sort_array(F.collect_list(F.struct(place.alias("at"), "name", F.replace(F.col("value"), F.lit("\n"), F.lit("\n\t")).alias("value"))))
+    body = F.array_join(F.transform("lines", lambda x: F.concat(x["name"], F.lit("\t"), x["value"])), "\n")
+    return packets.groupBy("packet").agg(lines.alias("lines")).select(F.concat(F.lit("#####\t"), F.col("packet").cast("string"), F.lit("\n"), body).alias("value"))
+
+
+def read_packets(spark: SparkSession, path: str) -> DataFrame:
+    """``packet, name, value`` of the packets in text files, split at their first lines by the reader, so a file is read by many tasks."""
+    text = F.regexp_replace("value", "\n$", "")
+    parts = F.split(text, "\n(?!\t)")
+    lines = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.replace(x, F.lit("\n\t"), F.lit("\n")))
+    cells = F.transform(lines, lambda x: F.struct(F.substring_index(x, "\t", 1).alias("name"), F.regexp_extract(x, "(?s)^[^\t]*\t?(.*)$", 1).alias("value")))
+    rows = spark.read.option("lineSep", "#####\t").text(path).where("value <> ''")
+    return rows.select(F.get(parts, F.lit(0)).cast("long").alias("packet"), F.inline(cells))
+
+
 def fit_to(df: DataFrame, schema) -> DataFrame:
     """``df`` in the shape of another schema: its attributes by name, created empty where missing, padded or cut to their ``width``."""
     out = []
@@ -149,6 +204,14 @@ def _new_value(df: DataFrame, name: str, op: str, value: Column, form: str | Non
     return new
 
 
+def _changed(df: DataFrame, old: Column, name: str, op: str, b: Column) -> Column:
+    """``old``, the attribute ``name`` of ``df``, after an arithmetic operator with ``b``."""
+    a = old.cast("double") if typed.is_number(df, name) else typed.atof(old)
+    checked = F.when(b == 0, F.raise_error(F.lit(f"{name}: division by zero")).cast("double")).otherwise(b)
+    new = {"+=": a + b, "-=": a - b, "*=": a * b, "/=": a / checked}[op]
+    return new if typed.is_number(df, name) else scalar.shortest(new, 11)
+
+
 def alter(df: DataFrame, changes: list[tuple], where_clause: str | list[str] | None = None) -> DataFrame:
     """Change attributes of the rows that meet the where-clause.
 
@@ -176,12 +239,18 @@ def _predicate(df: DataFrame, clause) -> Column:
     return Keys(df, lambda attr: attr.name).condition(where.normal(where.parse(clause)))
 
 
-def alter_from(df: DataFrame, other: DataFrame, keys: list[str] | dict[str, str], changes: dict[str, str]) -> DataFrame:
-    """Set attributes to those of the row of ``other`` with the same keys (``changes``: ours to theirs). Rows without a partner stay.
+def alter_from(df: DataFrame, other: DataFrame, keys: list[str] | dict[str, str], changes: dict[str, str | tuple[str, str]], where_clause: str | None = None, with_clause: str | None = None) -> DataFrame:
+    """Change attributes by the row of ``other`` with the same keys. ``changes``: ours to theirs, or to ``(operator, theirs)`` with one of
+    ``f= f+= f-= f*= f/=``. Rows without a partner, and those that don't meet ``where_clause``, stay; ``with_clause`` chooses rows of ``other``.
 
-    A row for which ``other`` gives different new values is an error.
+    A row for which ``other`` gives different new values is an error, and so is a division by zero.
     """
     names = keys if isinstance(keys, dict) else {k: k for k in keys}
+    other = select_where(other, with_clause) if with_clause else other
+    operators = {a: "f=" if isinstance(c, str) else c[0] for a, c in changes.items()}
+    changes = {a: c if isinstance(c, str) else c[1] for a, c in changes.items()}
+    met = F.coalesce(_predicate(df, where_clause), F.lit(False)) if where_clause else F.lit(True)
+    df = df.withColumn("_met", met)
     told = other.groupBy(*names.values()).agg(
         *[F.first(v).alias(f"_v{i}") for i, v in enumerate(changes.values())], F.count_distinct(F.struct(*[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in changes.values()])).alias("_kinds")
     )
@@ -193,9 +262,13 @@ def alter_from(df: DataFrame, other: DataFrame, keys: list[str] | dict[str, str]
     found = F.col("_r._kinds").isNotNull()
     values = {}
     for i, name in enumerate(changes):
-        checked = F.when(F.col("_r._kinds") > 1, F.raise_error(F.lit(f"{name} would get several values")).cast(df.schema[name].dataType)).otherwise(F.col(f"_r._v{i}").cast(df.schema[name].dataType))
-        values[name] = F.when(found, checked).otherwise(F.col(f"_l.`{name}`"))
-    return joined.select(*[values.get(c, F.col(f"_l.`{c}`")).alias(c) for c in df.columns])
+        kind, given = df.schema[name].dataType, F.col(f"_r._v{i}")
+        if operators[name] != "f=":
+            given = given.cast("double") if typed.is_number(other, changes[name]) else typed.atof(given)
+            given = _changed(df, F.col(f"_l.`{name}`"), name, operators[name][1:], given)
+        checked = F.when(F.col("_r._kinds") > 1, F.raise_error(F.lit(f"{name} would get several values")).cast(kind)).otherwise(given.cast(kind))
+        values[name] = F.when(found & F.col("_l._met"), checked).otherwise(F.col(f"_l.`{name}`"))
+    return joined.select(*[values.get(c, F.col(f"_l.`{c}`")).alias(c) for c in df.columns if c != "_met"])
 
 
 def delete(df: DataFrame, where_clause: str | list[str]) -> DataFrame:

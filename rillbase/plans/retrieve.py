@@ -35,7 +35,9 @@ class _Plan:
         for i, df in enumerate(self.sources):
             if attr.name in df.columns:
                 return i
-        if attr.name in ("rec#", "seek#"):
+        if attr.name == "seek#":
+            raise ValueError("seek# is a place in a file, which distributed tables don't have: use rec# with a record_order, or give the table an attribute of that name")
+        if attr.name == "rec#":
             return 0
         raise ValueError(f"no table has {attr.name}")
 

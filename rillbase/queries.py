@@ -12,6 +12,7 @@ from rillbase.operators import aggregates, joins, sorting, tables, validation
 from rillbase.plans.retrieve import Prepared, exists, retrieve, select_where
 from rillbase.sources import flatfile, reports
 from rillbase.sources.descriptor import read_descriptor
+from rillbase.storage import shared_place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,6 +69,7 @@ where_query("fl_caseless", "customer", "c_custkey c_mktsegment", "c_mktsegment c
 where_query("fl_caseless_global", "customer", "c_custkey c_mktsegment", "c_mktsegment = building", "upper(c_mktsegment) = upper('building')", caseless=True)
 where_query("fl_length", "part", "p_partkey p_name", "p_name:length gt 10", "strlen(p_name) > 10")
 where_query("fl_regex", "part", "p_partkey p_name", "p_name ~ '^(s|b)'", "contains(p_name, '(s|b)') AND false")
+where_query("fl_regex_repeat", "part", "p_partkey p_name", "p_name ~ 'b.*l[eo]*.* [a-w]'", "regexp_matches(p_name, 'b.*l[eo]*.* [a-w]')")
 where_query("fl_regex_plain", "part", "p_partkey p_name", "p_name ~ '^s[a-m]' and p_name !~ 'bolt$'", "regexp_matches(p_name, '^s[a-m]') AND NOT regexp_matches(p_name, 'bolt$')")
 where_query("fl_regex_ci", "part", "p_partkey p_name", "p_name rceq 'RING$'", "regexp_matches(p_name, 'RING$', 'i')")
 where_query("fl_date", "orders", "o_orderkey", "o_orderdate d>= 6/1/1998 and o_orderdate dlt 19990101", "o_orderdate >= TIMESTAMP '1998-06-01' AND o_orderdate < TIMESTAMP '1999-01-01'")
@@ -193,17 +195,9 @@ def jn_caseless(t: Tables) -> DataFrame:
     return retrieve({"a": a, "b": b}, "c_custkey s_suppkey", "k fc= m")
 
 
-@query("""SELECT event_id, o_orderkey FROM (SELECT *, CAST(ts AS DATE) - INTERVAL 25 YEAR AS d FROM events) JOIN orders ON CAST(d AS DATE) = CAST(o_orderdate AS DATE)
-          WHERE o_orderstatus = 'P' AND user_id < 5""")
-def jn_date(t: Tables) -> DataFrame:
-    e = t.events.select("event_id", "user_id", F.date_format(F.col("ts") - F.expr("INTERVAL 25 YEAR"), "M-d-yyyy H:mm").alias("day"))
-    return retrieve({"e": e, "orders": t.orders}, "event_id o_orderkey", "day fD= o_orderdate and o_orderstatus = P and user_id lt 5")
-
-
 @query("""SELECT event_id, o_orderkey FROM (SELECT *, CAST(ts AS DATE) - INTERVAL 25 YEAR AS d FROM events) JOIN orders ON CAST(d AS DATE) = CAST(o_orderdate AS DATE)
           WHERE o_orderstatus = 'P'""")
-def jn_date_all(t: Tables) -> DataFrame:
-    """``jn_date`` over the events of all users."""
+def jn_date(t: Tables) -> DataFrame:
     e = t.events.select("event_id", F.date_format(F.col("ts") - F.expr("INTERVAL 25 YEAR"), "M-d-yyyy H:mm").alias("day"))
     return retrieve({"e": e, "orders": t.orders}, "event_id o_orderkey", "day fD= o_orderdate and o_orderstatus = P")
 
@@ -242,14 +236,8 @@ def jn_anti_both(t: Tables) -> DataFrame:
     return retrieve({"nation": t.nation, "supplier": t.supplier}, "n_name s_name", "n_nationkey f-n= s_nationkey and n_regionkey eq 0 and s_acctbal gt 8000")
 
 
-@query("SELECT p_partkey FROM part a WHERE p_size = 3 AND NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size = 4 AND b.p_partkey < 500 AND a.p_retailprice < b.p_retailprice)")
-def jn_anti_theta(t: Tables) -> DataFrame:
-    return retrieve([("a", t.part), ("b", t.part)], "1.p_partkey", "1.p_retailprice f-n< 2.p_retailprice and 1.p_size eq 3 and 2.p_size eq 4 and 2.p_partkey lt 500")
-
-
 @query("SELECT p_partkey FROM part a WHERE p_size = 3 AND NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size = 4 AND b.p_type = 'PROMO' AND a.p_retailprice < b.p_retailprice)")
-def jn_anti_theta_type(t: Tables) -> DataFrame:
-    """``jn_anti_theta`` against a share of the parts that grows with the table."""
+def jn_anti_theta(t: Tables) -> DataFrame:
     return retrieve([("a", t.part), ("b", t.part)], "1.p_partkey", "1.p_retailprice f-n< 2.p_retailprice and 1.p_size eq 3 and 2.p_size eq 4 and 2.p_type = PROMO")
 
 
@@ -413,6 +401,12 @@ def so_caseless(t: Tables) -> DataFrame:
     return _ranked(df, "n:caseless:blanks", "h:hexadecimal", "p_partkey:numeric").select("p_partkey", "place")
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey % 64, p_partkey) AS place FROM part")
+def so_bases(t: Tables) -> DataFrame:
+    df = t.part.select("p_partkey", F.bin("p_size").alias("b"), F.conv((F.col("p_partkey") % 64).cast("string"), 10, 8).alias("o"))
+    return _ranked(df, "b:binary:descending", "o:octal", "p_partkey:numeric").select("p_partkey", "place")
+
+
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_name DESC, p_partkey) AS place FROM part")
 def so_printable(t: Tables) -> DataFrame:
     df = t.part.select("p_partkey", F.concat(F.lit("\x01"), F.substring("p_name", 1, 3), F.lit("\u00e9\t"), F.expr("substring(p_name, 4)")).alias("n"))
@@ -478,6 +472,44 @@ def st_udiff_counts(t: Tables) -> DataFrame:
     return tables.difference_counts(tables.difference(t.customer.where("c_custkey % 10 <> 0"), t.customer.where("c_custkey % 10 <> 1"), ["c_custkey"]))
 
 
+@query(f"""SELECT n_nationkey, n_name, n_regionkey, q AS "recQ#", k AS "recK#", row_number() OVER (ORDER BY k) AS "recM#" FROM
+          (SELECT *, row_number() OVER (ORDER BY q) AS k FROM (SELECT *, row_number() OVER (ORDER BY n_name DESC) AS q FROM {_NEW})) WHERE n_nationkey NOT IN (SELECT n_nationkey FROM nation)""")
+def st_umerge_numbers(t: Tables) -> DataFrame:
+    return tables.merge_numbers(t.nation, _new_nations(t), ["n_nationkey"], ("n_name:descending",))
+
+
+@query("""SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY rec, new) AS "rec#" FROM (
+          SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_name) AS rec, 1 AS new FROM nation UNION ALL SELECT r_regionkey + 100, r_name, r_regionkey, 5 * r_regionkey + 2, 0 FROM region)""")
+def st_umerge_record_insert(t: Tables) -> DataFrame:
+    rows = t.region.select((F.col("r_regionkey") + 100).alias("n_nationkey"), F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("n_regionkey"), F.expr("5 * r_regionkey + 2").alias("place"))
+    return tables.merge_by_record(t.nation, rows, ("n_name",), "place", "insert", exactly=5)
+
+
+@query("""SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY rec) AS "rec#" FROM (
+          SELECT * FROM (SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_name) AS rec FROM nation) WHERE rec NOT IN (SELECT 5 * r_regionkey + 2 FROM region)
+          UNION ALL SELECT r_regionkey + 100, r_name, r_regionkey, 5 * r_regionkey + 2 FROM region)""")
+def st_umerge_record_replace(t: Tables) -> DataFrame:
+    rows = t.region.select((F.col("r_regionkey") + 100).alias("n_nationkey"), F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("n_regionkey"), F.expr("5 * r_regionkey + 2").alias("place"))
+    return tables.merge_by_record(t.nation, rows, ("n_name",), "place", exactly=5)
+
+
+def _two_customers(t: Tables) -> DataFrame:
+    two = t.customer.where("c_custkey % 10 <> 1").withColumn("c_mktsegment", F.expr("CASE WHEN c_custkey % 6 = 0 THEN 'NONE' ELSE c_mktsegment END"))
+    return tables.difference(t.customer.where("c_custkey % 10 <> 0"), two, ["c_custkey"], ["c_mktsegment"])
+
+
+@query("SELECT c_custkey, 'extra1' AS status, '' AS differs FROM customer WHERE c_custkey % 10 = 1 UNION ALL SELECT c_custkey, 'extra2', '' FROM customer WHERE c_custkey % 10 = 0")
+def st_udiff_extra(t: Tables) -> DataFrame:
+    """Extra rows alone (``-d``)."""
+    return tables.only(_two_customers(t), differing=False)
+
+
+@query("SELECT c_custkey, 'extra2' AS status, '' AS differs FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey, 'differ', 'c_mktsegment' FROM customer WHERE c_custkey % 6 = 0 AND c_custkey % 10 > 1")
+def st_udiff_without_first(t: Tables) -> DataFrame:
+    """Without what only the first table has (``-e1``)."""
+    return tables.only(_two_customers(t), extra=("2",))
+
+
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name FROM part")
 def st_unmerge(t: Tables) -> DataFrame:
     return aggregates.unmerge_values(t.part.select("p_partkey", F.concat("p_name", F.lit(" ")).alias("p_name")), "p_name", " ")
@@ -486,16 +518,9 @@ def st_unmerge(t: Tables) -> DataFrame:
 # Functions
 
 
-@query("""SELECT l_orderkey, l_linenumber, printf('%.4f', l_quantity * (l_extendedprice - 1) / 2 + -l_tax) AS price, printf('%.4f', CAST(CAST(l_quantity AS BIGINT) % 7 AS DOUBLE)) AS l_quantity,
-          printf('%.4f', 0.0::DOUBLE) AS none FROM lineitem WHERE l_orderkey < 500""")
-def fn_compute(t: Tables) -> DataFrame:
-    """The rows that its SQL names; ``fn_compute_all`` is the whole table."""
-    return _computed(t.lineitem.where("l_orderkey < 500"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, printf('%.4f', l_quantity * (l_extendedprice - 1) / 2 + -l_tax) AS price, printf('%.4f', CAST(CAST(l_quantity AS BIGINT) % 7 AS DOUBLE)) AS l_quantity,
           printf('%.4f', 0.0::DOUBLE) AS none FROM lineitem""")
-def fn_compute_all(t: Tables) -> DataFrame:
+def fn_compute(t: Tables) -> DataFrame:
     return _computed(t.lineitem)
 
 
@@ -587,6 +612,20 @@ def dm_alter_join(t: Tables) -> DataFrame:
     return tables.alter_from(t.supplier, nations, {"s_nationkey": "n_nationkey"}, {"s_name": "n_name"}).select("s_suppkey", "s_name")
 
 
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal > 0 AND n_regionkey = 1 THEN s_acctbal + n_nationkey ELSE s_acctbal END AS s_acctbal,
+          CASE WHEN s_acctbal > 0 AND n_regionkey = 1 THEN n_name ELSE s_name END AS s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def dm_alter_join_add(t: Tables) -> DataFrame:
+    out = tables.alter_from(t.supplier, t.nation, {"s_nationkey": "n_nationkey"}, {"s_acctbal": ("f+=", "n_nationkey"), "s_name": "n_name"}, "s_acctbal gt 0", "n_regionkey eq 1")
+    return out.select("s_suppkey", "s_acctbal", "s_name")
+
+
+@query("""SELECT s_suppkey, CAST(CASE WHEN n_regionkey < 3 THEN s_suppkey * (n_regionkey + 1) ELSE s_suppkey END AS VARCHAR) AS amount FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def dm_alter_join_multiply(t: Tables) -> DataFrame:
+    df = t.supplier.select("s_suppkey", "s_nationkey", F.col("s_suppkey").cast("string").alias("amount"))
+    nations = t.nation.select("n_nationkey", "n_regionkey", (F.col("n_regionkey") + 1).cast("string").alias("by"))
+    return tables.alter_from(df, nations, {"s_nationkey": "n_nationkey"}, {"amount": ("f*=", "by")}, with_clause="n_regionkey lt 3").select("s_suppkey", "amount")
+
+
 @query("SELECT * FROM part WHERE NOT (p_size > 10 AND p_type = 'PROMO')")
 def dm_delete(t: Tables) -> DataFrame:
     return tables.delete(t.part, "p_size gt 10 and p_type = PROMO")
@@ -653,6 +692,47 @@ def sc_flat(t: Tables) -> DataFrame:
     return flatfile.records(flatfile.to_lines(rows, d), d, policy="fail")
 
 
+_PARTS = "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part"
+_PART_LINES = "p_partkey\tt:\tr8\np_name\tt:\tl20\np_size\tt\\n\tr4\n"
+
+
+@query(_PARTS)
+def sc_file(t: Tables) -> DataFrame:
+    """A table written as a compressed flat file and read from it."""
+    place = shared_place(t.spark, "flat")
+    flatfile.write_table(t.part.select("p_partkey", "p_name", "p_size"), place, read_descriptor(_PART_LINES), compression="gzip")
+    return flatfile.read_table(t.spark, place, _PART_LINES, "fail")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def sc_inline(t: Tables) -> DataFrame:
+    """A flat file, one by its nature, that begins with its own descriptor."""
+    text = "n_nationkey\tt:\tr8\nn_name\tt:\tl20\nn_regionkey\tt\\n\tr4"
+    place = shared_place(t.spark, "inline")
+    head = t.spark.range(0, 1, 1, 1).select(F.lit(f"%description\n{text}\n%enddescription").alias("value"))
+    head.union(flatfile.to_lines(t.nation, read_descriptor(text))).coalesce(1).write.text(place)
+    return flatfile.read_inline(t.spark, place)
+
+
+@query(f"{_PARTS} UNION ALL {_PARTS}")
+def sk_load_unload(t: Tables) -> DataFrame:
+    """A flat file loaded onto a table twice, and the table unloaded to a flat file again."""
+    source, table, target = (shared_place(t.spark, tag) for tag in ("source", "table", "target"))
+    flatfile.write_table(t.part.select("p_partkey", "p_name", "p_size"), source, read_descriptor(_PART_LINES))
+    for _ in range(2):
+        flatfile.load(t.spark, source, _PART_LINES, table)
+    flatfile.unload(t.spark, table, target, read_descriptor(_PART_LINES))
+    return flatfile.read_table(t.spark, target, _PART_LINES, "fail")
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS packet, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def sc_packet_file(t: Tables) -> DataFrame:
+    """Packets written as text and read from it."""
+    place = shared_place(t.spark, "packets")
+    tables.packet_text(tables.to_packets(t.nation, ("n_nationkey:numeric",))).write.text(place)
+    return tables.from_packets(tables.read_packets(t.spark, place), ["n_name", "n_regionkey"])
+
+
 @query("SELECT p_partkey || '|' || p_name || '|' || p_size AS value FROM part")
 def sk_lines(t: Tables) -> DataFrame:
     return flatfile.to_lines(t.part.select("p_partkey", "p_name", "p_size"), delimiter="|")
