@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,18 +13,33 @@ from pyspark.sql import functions as F
 
 from rillbase.storage import shared_place, shared_root, written
 
-__all__ = ["by_chars", "lean_memory", "shared_place", "shared_root", "texts_of", "written"]
+__all__ = ["by_chars", "fresh_worker", "kept_in_worker", "shared_place", "shared_root", "texts_of", "written"]
 
 
-def lean_memory() -> None:
-    """Have this worker give large arrays back to the system as soon as they are freed, where the C library can be told so."""
+#: What a worker keeps from task to task, to be dropped when another operator's tasks come.
+_KEPT: list = []
+
+
+def kept_in_worker(cache):
+    """``cache``, a dict or list at the level of a module, which ``fresh_worker`` empties."""
+    _KEPT.append(cache)
+    return cache
+
+
+def fresh_worker(large_arrays: bool = False) -> None:
+    """Called where a task begins that has no use for what earlier ones kept: drop that, and give free memory back to the system. With ``large_arrays``
+    the worker gives large arrays back as soon as they are freed from now on."""
+    for cache in _KEPT:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        if large_arrays:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
         libc.malloc_trim(0)
     except (OSError, AttributeError):
-        pass
-    pa.default_memory_pool().release_unused()
+        pass  # another C library
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:

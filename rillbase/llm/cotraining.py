@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars, shared_place, written
+from rillbase.llm.common import by_chars, fresh_worker, shared_place, written
 
 #: Labelled rows that the models are fitted on at most. Everything else covers all documents.
 LABELLED_ROWS = 12_000
@@ -163,6 +163,25 @@ class Head:
         return u * (a * words + b) + v * (c * meta + d) + w
 
 
+@dataclass
+class Sent:
+    """A head as tasks get it: the few weights that are not 0, which go with the task's code, so nothing large stays in workers."""
+
+    head: Head
+
+    def __getstate__(self):
+        packed = [(len(w), np.flatnonzero(w).astype(np.int32), w[w != 0]) for w in (self.head.words, self.head.meta)]
+        return packed, self.head.scales, self.head.combine
+
+    def __setstate__(self, state):
+        packed, scales, combine = state
+        weights = []
+        for size, at, values in packed:
+            weights.append(np.zeros(size))
+            weights[-1][at] = values
+        self.head = Head(*weights, scales, combine)
+
+
 def calibrate(head: Head, words: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Head:
     """``head`` with each view calibrated and the two combined on rows that neither has seen; a view that would count against itself is left out."""
     if not len(labels) or labels.min() == labels.max():
@@ -194,6 +213,7 @@ def features(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Both views of every document as sets of slots, and a number for each row; and the document's columns in ``more``."""
 
     def describe(batches):
+        fresh_worker()
         slots, row = _Slots(), TaskContext.get().partitionId() << _PART
         for whole in batches:
             for batch in by_chars(whole, "text"):
@@ -241,7 +261,7 @@ def confident(rows: DataFrame, heads: dict[str, Head], give: int, sure: float, l
 
     Every row is scored; a task passes on its own surest only, and of these the surest of all are taken.
     """
-    told = rows.sparkSession.sparkContext.broadcast(heads)
+    told = {h: Sent(head) for h, head in heads.items()}
 
     def score(batches):
         best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
@@ -250,8 +270,8 @@ def confident(rows: DataFrame, heads: dict[str, Head], give: int, sure: float, l
             if labelled:
                 batch = batch.filter(pa.array(~_labelled(labelled, batch.column("row").to_numpy(), seen)))
             number = batch.column("row").to_numpy()
-            for name, head in told.value.items():
-                for view, (column, w) in enumerate((("words", head.words), ("meta", head.meta))):
+            for name, sent in told.items():
+                for view, (column, w) in enumerate((("words", sent.head.words), ("meta", sent.head.meta))):
                     p = _sigmoid(sums(batch.column(column).to_pylist(), w))
                     for value in (0, 1):
                         how = p if value else 1 - p
@@ -331,12 +351,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
     the scoring, is a scan of them without an exchange of rows.
     """
     rows = written(features(docs, more), "views")
-    told = rows.sparkSession.sparkContext.broadcast(train(rows, labels, labelled))
+    told = {h: Sent(head) for h, head in train(rows, labels, labelled).items()}
 
     def score(batches):
         for batch in batches:
             raws = [batch.column(c).to_pylist() for c in ("words", "meta")]
-            out = [_sigmoid(h.logits(sums(raws[0], h.words), sums(raws[1], h.meta))) for h in (told.value[x] for x in HEADS)]
+            out = [_sigmoid(h.logits(sums(raws[0], h.words), sums(raws[1], h.meta))) for h in (told[x].head for x in HEADS)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out), *map(batch.column, more)], ["doc_id", "low_quality", "toxicity", *more])
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *more)]

@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars, shared_place, texts_of
+from rillbase.llm.common import by_chars, fresh_worker, shared_place, texts_of
 from rillbase.llm.shingles import mix
 
 Q, RATE, BLOCK_BYTES = 12, 0.06, 4 << 20
@@ -197,6 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
     for b in range(blocks):
 
         def find(batches, b=b):
+            fresh_worker()
             block = _items(place, b, rate)
             for whole in batches:
                 for batch in by_chars(whole, "text", 1_000_000):
@@ -217,6 +218,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, b
     for b in range(blocks):
 
         def keep(batches, b=b):
+            fresh_worker()
             block = _items(place, b, rate)
             for whole in batches:
                 for batch in by_chars(whole, "text", 1_000_000):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars, lean_memory, shared_place, texts_of
+from rillbase.llm.common import by_chars, fresh_worker, kept_in_worker, shared_place, texts_of
 from rillbase.llm.shingles import joined, mix, word_hashes, words
 
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -99,7 +99,7 @@ def shards_of(docs: DataFrame, place: str, most: int = SHARD_BYTES) -> DataFrame
     """The texts as token shards of about ``most`` bytes of text, in files at ``place``: a sorted table of distinct hashes and, for each token, its place in it."""
 
     def build(batches):
-        lean_memory()
+        fresh_worker(True)
         held, size, number = [], 0, TaskContext.get().partitionId() << 20
 
         def flush():
@@ -299,7 +299,7 @@ class SuffixArray:
         return out[0], out[1]
 
 
-_cache: list[np.ndarray] = []
+_cache: list[np.ndarray] = kept_in_worker([])
 _BASE = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -473,7 +473,7 @@ def matches(shards: DataFrame, place: str, asked: str, queries: str, n: int) ->
     """``shard, blob``: for the queries of each home shard (listed at ``asked``, read one by one from ``queries``) what one shard has; a row for each pair of them."""
 
     def find(batches):
-        lean_memory()
+        fresh_worker(True)
         fs, base = _filesystem(asked)
         for batch in batches:
             for name in batch.column("name").to_pylist():
@@ -489,7 +489,7 @@ def matches(shards: DataFrame, place: str, asked: str, queries: str, n: int) ->
                 for home, query in zip(listed.column("shard").to_pylist(), listed.column("query").to_pylist()):
                     yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([_matched(sa, _load(queries, query))], pa.binary())], ["shard", "blob"])
                 del sa
-                lean_memory()
+                fresh_worker(True)
 
     return shards.select("name").repartition(n).mapInArrow(find, "shard long, blob binary")
 

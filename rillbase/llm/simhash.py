@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import by_chars, texts_of, written
+from rillbase.llm.common import by_chars, fresh_worker, texts_of, written
 from rillbase.llm.components import components
 from rillbase.llm.shingles import mix, text_shingles
 
@@ -98,6 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
     """``doc_id, n, set1, set2, bits, rests``: size, 128-bit name of the shingle set, packed SimHash, and of a small set its rests; no row for a text without words."""
 
     def describe(batches):
+        fresh_worker()
         for whole in batches:
             for batch in by_chars(whole, "text", 2_000_000):
                 ids, sets = batch.column("doc_id").to_pylist(), text_shingles(batch.column("text").to_pylist())
@@ -186,6 +187,7 @@ def bucket_pairs(rows: DataFrame, cap: int = CAP, distance: int = DISTANCE, near
     labelled = "label" in rows.columns
 
     def pair(batches):
+        fresh_worker()
         held: list[tuple] = []
         group_no = 0
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillbase.llm.common import texts_of, written
+from rillbase.llm.common import fresh_worker, texts_of, written
 from rillbase.llm.shingles import mix
 
 WIDTH, GRAM = 100, 32
@@ -158,6 +158,7 @@ def _anchors(docs: DataFrame, buckets: int, width: int, most: int = 32 << 20) ->
     """Map side: kind 0, spans repeated within a task; kind 1, the entries left, packed by bucket (``key``)."""
 
     def find(batches):
+        fresh_worker()
         held, size = [], 0
 
         def flush():
@@ -341,6 +342,7 @@ def _sorted_shards(pieces: DataFrame, width: int, most: int = 1 << 17) -> DataFr
     """Repeated windows of each key as spans, from suffix arrays over about ``most`` bytes of whole keys; equal pieces of a key count once there."""
 
     def spans(batches):
+        fresh_worker()
         texts, docs, begins, held = [], [], [], 0
         key = piece = None
         group: list[tuple] = []

@@ -16,6 +16,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
+from rillbase.llm.common import kept_in_worker
 from rillbase.llm.shingles import mix
 
 #: Bytes of a block, and of the longest unit that is cached. They bound memory, never results.
@@ -30,7 +31,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Last bytes of the three-byte white space that begins with E2 80.
 _THIN = [*range(0x80, 0x8C), 0xA8, 0xA9, 0xAF]
-_TOKENIZERS: dict[str, object] = {}
+_TOKENIZERS: dict[str, object] = kept_in_worker({})
 
 
 def tokenizer(path: str):
@@ -349,7 +350,7 @@ class UnitEncoder:
         return np.insert(ids, ends, self.dtype.type(end_id)), [0, *(ends + np.arange(1, len(ends) + 1)).tolist()]
 
 
-_ENCODERS: dict[tuple, UnitEncoder] = {}
+_ENCODERS: dict[tuple, UnitEncoder] = kept_in_worker({})
 
 
 def encoder(path: str, counts: bool = False, frequent: tuple[list[bytes], list[int]] | None = None, key: object = None) -> UnitEncoder:
