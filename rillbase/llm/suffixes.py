@@ -312,8 +312,8 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray, begins: np.ndarray, w
 
 
 def _texts(asked: DataFrame, docs: DataFrame, width: int, step: int) -> DataFrame:
-    """``key, piece, doc, begin``: the texts of the fragments asked for. Fragments of hot anchors are cut into ranges of
-    ``step`` windows; windows of one range can only be equal if the bytes common to all of them are, so these go into the key."""
+    """``key, piece, doc, begin, lead``: the texts of the fragments asked for, and where their anchor is. Fragments of hot anchors are cut into ranges of
+    ``step`` windows; windows of one range can only be equal if the bytes common to all of them are, so these go into the key (and ``lead`` is -1)."""
     lists = asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("begin", "end", "key", "lead")).alias("asked"))
 
     def fetch(batches):
@@ -323,7 +323,7 @@ def _texts(asked: DataFrame, docs: DataFrame, width: int, step: int) -> DataFram
                 for p in parts:
                     begin, end, key, lead = p["begin"], p["end"], p["key"], p["lead"]
                     if lead >= 0:
-                        out.append((key, text[begin:end], doc, begin))
+                        out.append((key, text[begin:end], doc, begin, lead))
                         continue
                     anchor, last = begin - 1 - lead, end - width
                     # Ranges are counted from the anchor, so they are the same in every fragment.
@@ -331,15 +331,49 @@ def _texts(asked: DataFrame, docs: DataFrame, width: int, step: int) -> DataFram
                         low, high = max(begin, anchor - r * step - step + 1), min(last, anchor - r * step)
                         core = text[anchor - r * step : anchor - r * step - step + 1 + width]
                         at = int.from_bytes(hashlib.blake2b(core + r.to_bytes(2, "little") + key.to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
-                        out.append((at, text[low : high + width], doc, low))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["key", "piece", "doc", "begin"])
+                        out.append((at, text[low : high + width], doc, low, -1))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "piece", "doc", "begin", "lead"])
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "asked").mapInArrow(fetch, "key long, piece binary, doc long, begin long")
+    return docs.join(lists, "doc_id").select("doc_id", "text", "asked").mapInArrow(fetch, "key long, piece binary, doc long, begin long, lead int")
+
+
+def shared_parts(group: list[tuple[bytes, int, int, int]], width: int, step: int = 8) -> list[tuple[bytes, int, int]]:
+    """``text, doc, begin`` of the parts of different fragments of one anchor that may hold a repeated window.
+
+    ``group`` has ``text, doc, begin, lead``. Equal windows hold the anchor at the same place, so they fall into one range of ``step`` places,
+    and the bytes common to all windows of that range are equal as well: a range whose common bytes no other fragment has holds none.
+    A fragment with ``lead`` -1 was cut to one such range before and is taken whole.
+    """
+    if len(group) < 2:
+        return []
+    seen: dict[tuple[int, bytes], int] = {}
+    cores: list[list[tuple[int, bytes]]] = []
+    for text, _, _, lead in group:
+        if lead < 0:
+            cores.append([])
+            continue
+        cores.append([(r, text[lead - r * step : lead - r * step - step + 1 + width]) for r in range((lead - len(text) + width) // step, lead // step + 1)])
+        for core in cores[-1]:
+            seen[core] = seen.get(core, 0) + 1
+    out = []
+    for (text, doc, begin, lead), own in zip(group, cores):
+        if lead < 0:
+            out.append((text, doc, begin))
+            continue
+        run: list[int] = []
+        for r in (*(r for r, c in own if seen[r, c] > 1), None):
+            if run and (r is None or r > run[-1] + 1):
+                low, high = max(0, lead - run[-1] * step - step + 1), min(len(text), lead - run[0] * step + width)
+                out.append((text[low:high], doc, begin + low))
+                run = []
+            run.append(r)
+    return out
 
 
 def _sorted_shards(pieces: DataFrame, width: int, most: int = 1 << 17) -> DataFrame:
-    """Repeated windows of each key as spans, from suffix arrays over about ``most`` bytes of whole keys; equal pieces of a key count once there."""
+    """Repeated windows of each key as spans, from suffix arrays over about ``most`` bytes of whole keys; equal pieces of a key count once there, and only what may repeat goes there."""
 
     def spans(batches):
         fresh_worker()
@@ -357,27 +391,25 @@ def _sorted_shards(pieces: DataFrame, width: int, most: int = 1 << 17) -> DataFr
 
         for batch in batches:
             copies: list[tuple] = []
-            for k, p, d, b in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "doc", "begin"))):
+            for k, p, d, b, lead in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "doc", "begin", "lead"))):
                 if k == key and p == piece:
                     copies.append((d, b, len(p) - width))
                     continue
                 if k != key:
-                    if len(group) > 1:
-                        for g in group:
-                            texts.append(g[0]), docs.append(g[1]), begins.append(g[2])
-                            held += len(g[0])
+                    for g in shared_parts(group, width):
+                        texts.append(g[0]), docs.append(g[1]), begins.append(g[2])
+                        held += len(g[0])
                     group, key = [], k
                     if held >= most:
                         yield from sort()
                         texts, docs, begins, held = [], [], [], 0
                 piece = p
-                group.append((p, d, b))
+                group.append((p, d, b, lead))
             if copies:
                 d, b, n = (np.array(x, np.int64) for x in zip(*copies))
                 yield _removed(_spans({"doc": d, "first": b, "n": n}, np.arange(len(d)), width))
-        if len(group) > 1:
-            for g in group:
-                texts.append(g[0]), docs.append(g[1]), begins.append(g[2])
+        for g in shared_parts(group, width):
+            texts.append(g[0]), docs.append(g[1]), begins.append(g[2])
         yield from sort()
 
     return pieces.repartition("key").sortWithinPartitions("key", "piece", "doc", "begin").mapInArrow(spans, _ROW)

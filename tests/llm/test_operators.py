@@ -80,6 +80,22 @@ def test_repeats_with_repeated_and_null_ids(spark):
     assert found == [(0, 0), (1, 150), (1, 150), (2, 150)]
 
 
+def test_repeats_only_sort_what_may_repeat():
+    rng = random.Random(3)
+    noise = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    anchor, right = noise(32), noise(68)
+    # Fragments whose texts agree in the anchor only; two more that share the windows which begin at most 9 bytes before it.
+    apart = [(noise(68) + anchor + noise(68), i, 1000, 68) for i in range(50)]
+    near = [(noise(59) + b"ninebytes" + anchor + right, 50 + i, 1000, 68) for i in range(2)]
+    assert suffixes.shared_parts(apart, 100) == []
+    assert suffixes.shared_parts(near[:1], 100) == []
+    parts = suffixes.shared_parts(apart + near, 100)
+    assert [(text, begin) for text, _, begin in parts] == [(g[0][53:168], 1053) for g in near]
+    whole = suffixes.repeated_windows([g[0] for g in near], np.array([50, 51]), np.array([1000, 1000]), 100)
+    cut = suffixes.repeated_windows([p[0] for p in parts], np.array([p[1] for p in parts]), np.array([p[2] for p in parts]), 100)
+    assert sorted(zip(*map(list, whole))) == sorted(zip(*map(list, cut))) and len(whole[0]) == 10
+
+
 def test_suffix_array_is_sorted():
     rng = random.Random(2)
     for _ in range(30):
