@@ -433,6 +433,39 @@ def test_ngram_scores_with_null_and_repeated_ids(spark):
     )
 
 
+def test_suffix_array_of_token_runs_is_sorted():
+    # Runs need not end with a token of their own: one may be how another goes on.
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        texts = [rng.integers(0, 2, rng.integers(1, 12)).tolist() for _ in range(8)]
+        sizes = np.array([len(t) for t in texts])
+        sa = ngram.SuffixArray(np.concatenate(texts), sizes, np.arange(2, dtype=np.uint64))
+        whole, ends = sum(texts, []), np.repeat(np.cumsum(sizes), sizes)
+        found = [whole[i : ends[i]] for i in sa.order.tolist()]
+        assert found == sorted(found)
+
+
+def test_ngram_searches_only_what_may_match():
+    def file(tokens):
+        return {"whole": np.array([True]), "sizes": np.array([len(tokens)]), "first": np.array([0]), "hashes": np.arange(1, 200, dtype=np.uint64).tobytes(), "tokens": ngram.planes(np.array(tokens)), "marks": ngram.planes(ngram.gram_keys(shingles.mix(np.array(tokens, np.uint64) + np.uint64(1)), ngram.LEAD) >> 28)}
+
+    text = list(range(100))
+    sa = ngram.SuffixArray(np.array(text), np.array([100]), np.arange(1, 200, dtype=np.uint64))
+    there = np.zeros(1 << ngram._BITS, bool)
+    there[ngram.gram_keys(shingles.mix(np.array(text, np.uint64) + np.uint64(1)), ngram.LEAD) >> (60 - ngram._BITS)] = True
+    assert ngram._wanted(sa, there, file(text[::-1])) is None
+    wanted = ngram._wanted(sa, there, file([*range(150, 160), *text[20:80], *range(170, 180)]))
+    assert wanted["number"].tolist() == list(range(10, 67))
+    # All places of the passage match up to its end, so only its first tells anything.
+    found = ngram._Found()
+    for batch in ngram._matched(sa, [(7, wanted)]):
+        assert batch.column("shard").to_pylist() == [7]
+        found.add(batch.column("blob")[0].as_py())
+    found.close(77)
+    assert found.longest.tolist() == [60 if i == 10 else 0 for i in range(77)]
+    assert found.count(np.full(4, 10), np.array([4, 5, 60, 61])).tolist() == [0, 1, 1, 0]
+
+
 # 7
 
 
