@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -466,6 +467,40 @@ def test_ngram_searches_only_what_may_match():
     assert found.count(np.full(4, 10), np.array([4, 5, 60, 61])).tolist() == [0, 1, 1, 0]
 
 
+def test_ngram_memory_of_a_shard():
+    # What a task takes for each token of its shard, beside the texts; and that blocks and parts of keys give what the whole gives.
+    rng = np.random.default_rng(6)
+    kinds, sizes = np.sort(rng.integers(0, 1 << 63, 50_000).astype(np.uint64)), rng.integers(1, 2000, 1100)
+    tokens, n = rng.integers(0, 50_000, int(sizes.sum())) ** 3 // 50_000**2, int(sizes.sum())
+    assert n > 3 * (1 << 18)
+    row = {"held": rng.random(1100) < 0.1, "sizes": sizes, "hashes": kinds.tobytes(), "tokens": ngram.planes(tokens)}
+    mixed, left = shingles.mix(kinds)[tokens], np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    held = np.repeat(row["held"], sizes)
+    for depth in (2, 4):
+        plain = np.append(ngram.gram_keys(mixed, depth), np.zeros(depth - 1, np.int64))[left >= depth]
+        (keys, slots), of = np.unique(plain, return_inverse=True), held[left >= depth]
+        tracemalloc.start()
+        home = ngram._Home(dict(row))
+        at = home.places(depth)
+        found = home.distinct(depth, at)
+        took = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        slot = home.slots(depth, at)
+        took = max(took, tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in found))
+        tracemalloc.stop()
+        assert took < 45 * n, (depth, took / n)
+        assert (found[0] == keys).all() and (slot == slots).all()
+        assert (found[1] == 2 * np.bincount(slots, ~of).astype(np.int64) + (np.bincount(slots, of) > 0)).all()
+
+
+def test_ngram_scores_in_small_blocks(spark, corpus, monkeypatch):
+    rows = [(i, t) for i, t in corpus if len(t or "") < 4000] + [(82, corpus[60][1][:6000]), (83, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = by_id(ngram.score_texts(frame))
+    monkeypatch.setattr(ngram, "BLOCK", 97)
+    assert by_id(ngram.score_texts(frame)) == whole
+
+
 # 7
 
 
