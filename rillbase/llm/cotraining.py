@@ -9,10 +9,13 @@ calibrated by itself, the calibrated views are combined, and the combination sco
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import sys
 import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillbase.llm.common import by_chars, fresh_worker, shared_place, written
+from rillbase.llm.shingles import distinct, joined, mix
 
 #: Labelled rows that the models are fitted on at most. Everything else covers all documents.
 LABELLED_ROWS = 12_000
@@ -32,32 +36,136 @@ WORD_SLOTS, META_SLOTS = 1 << 20, 1 << 13
 HEADS = ("low", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 _BINS = 32
+_SYMBOLS, _DIGITS = "#*$%&|<>", "0123456789"
+#: Kinds of code points.
+_SPACE, _UPPER, _NO_UPPER = 1, 2, 4
+_MARKS = ((8, _SYMBOLS), (16, "!"), (32, _DIGITS), (64, ".,"))
+#: Bytes of a word up to which many are hashed at once, a byte of each at a time.
+_LONG = 64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
 
 
 def slot(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_SLOTS
 
 
-class _Slots(dict):
-    """Slots of words, found once in a worker."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = s = slot(word)
-        return s
+def _shares(chars: int, words: int, raw: int, letters: int, distinct: int, symbols: int, upper: int, shouts: int, digits: int, stops: int, lines: int, kinds: int) -> list[float]:
+    n, chars = max(1, words), max(1, chars)
+    return [
+        symbols / chars, upper / max(1, raw), shouts / n, digits / chars, distinct / n, 1 - kinds / max(1, lines), stops / n,
+        letters / n / 20, math.log1p(raw) / 12, raw / n / 4,
+    ]
 
 
 def figures(text: str, words: list[str], distinct: int) -> list[float]:
-    """How a page is written, in numbers that mean as much at any length; most are shares."""
-    n, chars = max(1, len(words)), max(1, len(text))
+    """How a page is written, in numbers that mean as much at any length; most are shares. ``described`` has the same of many texts at once."""
     raw = text.split()
     lines = [x for x in text.split("\n") if x.strip()]
-    return [
-        sum(map(text.count, "#*$%&|<>")) / chars, sum(map(str.isupper, raw)) / max(1, len(raw)), text.count("!") / n, sum(map(text.count, "0123456789")) / chars,
-        distinct / n, 1 - len(set(lines)) / max(1, len(lines)), (text.count(".") + text.count(",")) / n,
-        sum(map(len, words)) / n / 20, math.log1p(len(raw)) / 12, len(raw) / n / 4,
-    ]
+    count = lambda marks: sum(map(text.count, marks))
+    return _shares(
+        len(text), len(words), len(raw), sum(map(len, words)), distinct, count(_SYMBOLS), sum(map(str.isupper, raw)), count("!"), count(_DIGITS), count(".,"), len(lines), len(set(lines))
+    )
+
+
+@cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is in words, and its kinds: a bit each for white space, capitals, what no word in capitals has, and the marks that are counted."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    letter, kind = np.zeros(len(every), bool), np.zeros(len(every), np.uint8)
+    for found in _WORD.finditer(every):
+        letter[found.start() : found.end()] = True
+    upper, small, title, space = (np.fromiter(map(f, every), bool, len(every)) for f in (str.isupper, str.islower, str.istitle, str.isspace))
+    kind[space], kind[upper], kind[small | title & ~upper] = _SPACE, _UPPER, _NO_UPPER
+    for bit, marks in _MARKS:
+        kind[[ord(x) for x in marks]] |= bit
+    return letter, kind
+
+
+def _of_bytes(buf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 what ``table`` has of its character."""
+    out = table[:256][buf]
+    leads = np.flatnonzero(buf >= 0xC0)
+    first = buf[leads]
+    for size, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        at = leads[(first >= low) & (first < high)]
+        if len(at):
+            point = buf[at].astype(np.int64) - low
+            for k in range(1, size):
+                point = point << 6 | buf[at + k] & 0x3F
+            for k in range(size):
+                out[at + k] = table[point]
+    return out
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of true values begin and end; the last value is false."""
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    return edge[0::2], edge[1::2]
+
+
+def _crcs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The crc32 of each word, and another 64-bit hash."""
+    sizes = ends - starts
+    order = np.argsort(np.minimum(sizes, _LONG + 1).astype(np.uint8), kind="stable")
+    first, size = starts[order], sizes[order]
+    crc, other = np.full(len(order), 0xFFFFFFFF, np.uint32), np.zeros(len(order), np.uint64)
+    end = int(np.searchsorted(size, _LONG, side="right"))
+    begins = np.searchsorted(size[:end], np.arange(_LONG), side="right")
+    with np.errstate(over="ignore"):
+        for i, a in enumerate(begins.tolist()):
+            if a == end:
+                break
+            byte, old = buf[first[a:end] + i], crc[a:end]
+            crc[a:end] = _CRC[(old ^ byte) & np.uint32(0xFF)] ^ old >> np.uint32(8)
+            other[a:end] = (other[a:end] + byte + np.uint64(1)) * _FACTOR
+    crc = ~crc
+    for k in range(end, len(order)):
+        word = buf[first[k] : first[k] + size[k]].tobytes()
+        crc[k], other[k] = zlib.crc32(word), int.from_bytes(hashlib.blake2b(word, digest_size=8).digest())
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return crc[back], mix(other)[back]
+
+
+def described(texts: list[str]) -> tuple[list[bytes], list[list[float]]]:
+    """The word slots (sorted 32-bit numbers, packed) and ``figures`` of at most 1,024 texts. Words of a text are told apart by 54 bits of two hashes."""
+    letter, kind = _kinds()
+    n = len(texts)
+    buf, begins = joined([t.lower() for t in texts])
+    inside = _of_bytes(buf, letter)
+    starts, ends = _runs(inside)
+    words = np.diff(np.searchsorted(starts, begins))
+    letters = np.add.reduceat(inside & (buf & 0xC0 != 0x80), begins[:-1], dtype=np.int64)
+    crc, other = _crcs(buf, starts, ends)
+    keys = np.repeat(np.arange(n, dtype=np.uint64), words) << np.uint64(54) | (crc & np.uint32(WORD_SLOTS - 1)).astype(np.uint64) << np.uint64(34) | other >> np.uint64(30)
+    keys = distinct(keys)
+    several = np.bincount((keys >> np.uint64(54)).astype(np.int64), minlength=n)
+    pairs = distinct(keys >> np.uint64(34))
+    edges = 4 * np.searchsorted(pairs, np.arange(n + 1, dtype=np.uint64) << np.uint64(20))
+    packed = (pairs & np.uint64(WORD_SLOTS - 1)).astype(np.uint32).tobytes()
+    slots = [packed[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+
+    buf, begins = joined(texts)
+    kinds = _of_bytes(buf, kind)
+    starts, ends = _runs(kinds & _SPACE == 0)
+    firsts = np.searchsorted(starts, begins)
+    capital = np.zeros(len(starts), bool)
+    capital[np.searchsorted(starts, np.flatnonzero(kinds & _UPPER), side="right") - 1] = True
+    against = np.concatenate(([0], np.cumsum(kinds & _NO_UPPER != 0)))
+    capital &= against[starts] == against[ends]
+    upper = np.diff(np.concatenate(([0], np.cumsum(capital)))[firsts])
+    marks = np.flatnonzero(kinds & sum(bit for bit, _ in _MARKS))
+    of, which = np.searchsorted(begins, marks, side="right") - 1, kinds[marks]
+    counts = [np.bincount(of[which & bit != 0], minlength=n).tolist() for bit, _ in _MARKS]
+    symbols, shouts, digits, stops = counts
+    lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    columns = (
+        map(len, texts), words.tolist(), np.diff(firsts).tolist(), letters.tolist(), several.tolist(), symbols, upper.tolist(), shouts, digits, stops, map(len, lines), (len(set(x)) for x in lines)
+    )
+    return slots, [_shares(*row) for row in zip(*columns)]
 
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None, numbers: list[float]) -> list[int]:
@@ -214,16 +322,12 @@ def features(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
     def describe(batches):
         fresh_worker()
-        slots, row = _Slots(), TaskContext.get().partitionId() << _PART
+        row = TaskContext.get().partitionId() << _PART
         for whole in batches:
-            for batch in by_chars(whole, "text"):
-                words, meta = [], []
-                for text, *columns in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
-                    text = text or ""
-                    found = _WORD.findall(text.lower())
-                    kinds = set(found)
-                    words.append(np.unique(np.fromiter(map(slots.__getitem__, kinds), np.uint32, len(kinds))).tobytes())
-                    meta.append(np.array(sorted(set(metadata(*columns, figures(text, found, len(kinds))))), np.uint32).tobytes())
+            for batch in (part.slice(i, 1024) for part in by_chars(whole, "text", 250_000) for i in range(0, part.num_rows, 1024)):
+                texts, *columns = (batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))
+                words, numbers = described([t or "" for t in texts])
+                meta = [np.array(sorted(set(metadata(*x))), np.uint32).tobytes() for x in zip(*columns, numbers)]
                 columns = [pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id"), pa.array(words, pa.binary()), pa.array(meta, pa.binary()), *map(batch.column, more)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "words", "meta", *more])
                 row += batch.num_rows
