@@ -17,9 +17,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every bit of the result depends on every bit of ``x``."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -52,7 +55,9 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     total = np.cumsum(lengths)
     place = np.arange(total[-1], dtype=np.int64) - np.repeat(total - lengths, lengths)
     with np.errstate(over="ignore"):
-        values = _BYTE[buf[~_SPACE[buf]]] * _POWER[place % _STEP] + (place // _STEP).astype(np.uint64)
+        values = _BYTE[buf[~_SPACE[buf]]] * _POWER[place & _STEP - 1]
+        if lengths.max() > _STEP:
+            values += (place // _STEP).astype(np.uint64)
         return mix(np.add.reduceat(values, total - lengths) + lengths.astype(np.uint64))
 
 

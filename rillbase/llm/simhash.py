@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rillbase.llm.common import by_chars, fresh_worker, texts_of, written
 from rillbase.llm.components import components
-from rillbase.llm.shingles import mix, text_shingles
+from rillbase.llm.shingles import distinct, mix, text_shingles
 
 BITS, TABLES, SAMPLED, CAP, NEAREST = 256, 32, 10, 512, 4
 #: Bits that two sets may differ in: a pair at similarity 0.8 differs in 38.8 on average, with deviation 5.7.
@@ -30,20 +30,20 @@ AGREE = 0.8485
 #: Shingles of a set that is linked exactly as well, at most. The smaller of two linked sets has nine at least where the larger has more.
 SHORT = 11
 
-_SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2 - 1).astype(np.float32)
-_PLACES = (np.arange(BITS // 8) * 256).astype(np.int64)
 _WORDS = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 
 
 def simhash(shingles: np.ndarray) -> np.ndarray:
     """The SimHash of a set of 64-bit hashes as ``BITS`` zeros and ones.
 
-    The votes come from one histogram of byte values for each byte of the hashes.
+    The votes are added up eight in a 64-bit number, 255 hashes at most at a time.
     """
     with np.errstate(over="ignore"):
         wide = mix(shingles[:, None] + _WORDS).view(np.uint8).reshape(len(shingles), -1)
-    counts = np.bincount((wide + _PLACES).ravel(), minlength=BITS * 32).reshape(-1, 256)
-    return (counts.astype(np.float32) @ _SIGNS > 0).astype(np.uint8).ravel()
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(wide), 255):
+        ones += np.add.reduce(np.unpackbits(wide[i : i + 255], axis=1, bitorder="little").view(np.uint64), axis=0).view(np.uint8)
+    return (2 * ones > len(shingles)).astype(np.uint8)
 
 
 def _coordinates(tables: int, sampled: int) -> np.ndarray:
@@ -51,10 +51,13 @@ def _coordinates(tables: int, sampled: int) -> np.ndarray:
     return np.stack([rng.choice(BITS, sampled, replace=False) for _ in range(tables)])
 
 
-def _name(values: np.ndarray) -> tuple[int, int]:
-    """A 128-bit name of a set of hashes; names of sets without common elements add up."""
+def _names(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two 64-bit halves of a name of each set of hashes, none of them empty; names of sets without common elements add up."""
+    if not sets:
+        return [], []
+    values, edges = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
     with np.errstate(over="ignore"):
-        return int(mix(values).sum().astype(np.int64)), int(mix(values ^ _WORDS[1]).sum().astype(np.int64))
+        return tuple(np.add.reduceat(mix(x), edges).astype(np.int64).tolist() for x in (values, values ^ _WORDS[1]))
 
 
 def _rests(s: np.ndarray) -> bytes:
@@ -100,17 +103,24 @@ def features(docs: DataFrame) -> DataFrame:
     def describe(batches):
         fresh_worker()
         for whole in batches:
-            for batch in by_chars(whole, "text", 2_000_000):
+            for batch in by_chars(whole, "text", 500_000):
                 ids, sets = batch.column("doc_id").to_pylist(), text_shingles(batch.column("text").to_pylist())
                 kept = [i for i, s in zip(ids, sets) if len(s)]
-                names = [(len(s), *_name(s), np.packbits(simhash(s)).tobytes(), _rests(s)) for s in sets if len(s)]
-                columns = list(zip(*names)) or [()] * 5
+                sets = [s for s in sets if len(s)]
+                columns = [len(s) for s in sets], *_names(sets), [np.packbits(simhash(s)).tobytes() for s in sets], [_rests(s) for s in sets]
                 kinds = [pa.int64()] * 3 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n", "set1", "set2", "bits", "rests"])
 
     return texts_of(docs).where("doc_id is not null").mapInArrow(describe, "doc_id long, n long, set1 long, set2 long, bits binary, rests binary")
 
 
+def _bits_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The packed SimHashes of a batch, a row each."""
+    column = batch.column("bits")
+    width = BITS // 8
+    return np.frombuffer(column.buffers()[2], np.uint8)[width * column.offset :][: width * len(column)].reshape(-1, width)
+
+
 def bucket_rows(sets: DataFrame, tables: int = TABLES, sampled: int = SAMPLED) -> DataFrame:
     """``key, id, bits`` for each set and table; the key holds the table and its sampled coordinates."""
     at = _coordinates(tables, sampled)
@@ -120,7 +130,7 @@ def bucket_rows(sets: DataFrame, tables: int = TABLES, sampled: int = SAMPLED) -
     def keys(batches):
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                bits = np.unpackbits(np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+                bits = np.unpackbits(_bits_of(part), axis=1)
                 key = bits[:, at].astype(np.int64) @ weights + offsets
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.ravel()), pa.array(np.repeat(part.column("id").to_numpy(), tables)), part.column("bits").take(pa.array(np.repeat(np.arange(part.num_rows), tables)))], ["key", "id", "bits"]
@@ -129,12 +139,13 @@ def bucket_rows(sets: DataFrame, tables: int = TABLES, sampled: int = SAMPLED) -
     return sets.select("id", "bits").mapInArrow(keys, "key long, id long, bits binary")
 
 
-def _near(bits: np.ndarray, block: int = 512):
+def _near(bits: np.ndarray, block: int = 256):
     """Blocks ``(rows, first column, distance)`` of the Hamming distances, of ``bits`` (n, 4 words) against those before."""
+    words = np.ascontiguousarray(bits.T)
     for i in range(0, len(bits), block):
         for j in range(0, i + 1, block):
-            a, b = bits[i : i + block], bits[j : j + block]
-            yield i, j, sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(BITS // 64))
+            a, b, c, d = (np.bitwise_count(w[i : i + block, None] ^ w[j : j + block]) for w in words)
+            yield i, j, np.add(a + b, c + d, dtype=np.int16)  # two words differ in 128 bits at most
 
 
 def candidates(ids: np.ndarray, words: np.ndarray, labels: np.ndarray | None, distance: int = DISTANCE, nearest: int = NEAREST):
@@ -142,38 +153,53 @@ def candidates(ids: np.ndarray, words: np.ndarray, labels: np.ndarray | None, di
     member names its ``nearest`` earlier ones. With ``labels`` all pairs of different labels are named."""
     pairs, left = [], False
     few = labels is None and len(ids) > 8 * nearest
-    best: dict[int, list] = {}
+    best, now = [], 0
+
+    def nearest_of(rows, columns, apart):
+        nonlocal left
+        order = np.lexsort((columns, apart, rows))
+        rows, columns, apart = rows[order], columns[order], apart[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        left |= bool((rank >= nearest).any())
+        return rows[rank < nearest], columns[rank < nearest], apart[rank < nearest]
+
+    def named(rows, columns, apart):
+        pairs.append(np.stack([np.minimum(ids[rows], ids[columns]), np.maximum(ids[rows], ids[columns]), apart], 1))
+
     for i, j, d in _near(words):
+        if best and i != now:
+            named(*nearest_of(*(np.concatenate(x) for x in zip(*best))))
+            best = []
+        now = i
         close = d <= distance
         if i == j:
             close &= np.tri(*d.shape, -1, bool)
-        rows, columns = np.nonzero(close)
-        if not len(rows):
-            continue
-        if few:
-            for r, c, x in zip((rows + i).tolist(), (columns + j).tolist(), d[rows, columns].tolist()):
-                best.setdefault(r, []).append((x, c))
+        if not close.any():
             continue
+        rows, columns = np.divmod(np.flatnonzero(close), close.shape[1])
         apart = d[rows, columns].astype(np.int64)
         rows, columns = rows + i, columns + j
+        if few:
+            best.append(nearest_of(rows, columns, apart))
+            continue
         if labels is not None:
             other = labels[rows] != labels[columns]
             rows, columns, apart = rows[other], columns[other], apart[other]
-        pairs.append(np.stack([np.minimum(ids[rows], ids[columns]), np.maximum(ids[rows], ids[columns]), apart], 1))
-    for r, found in best.items():
-        left |= len(found) > nearest
-        pairs.append(np.array([(min(ids[r], ids[c]), max(ids[r], ids[c]), x) for x, c in sorted(found)[:nearest]], np.int64))
+        named(rows, columns, apart)
+    if best:
+        named(*nearest_of(*(np.concatenate(x) for x in zip(*best))))
     return (np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)), left
 
 
 def _groups(bits: np.ndarray, key: int, cap: int):
-    """The bucket itself, or if it is above the cap its parts by additional sampled coordinates, in several draws."""
+    """The bucket itself, or if it is above the cap its parts by additional sampled coordinates, in several draws; but the bucket itself too where
+    its pairs take no longer than those of all draws, with what each part takes besides."""
     n = len(bits)
-    if n <= cap:
+    extra = min(40, ceil(log2(max(1, n / cap))) + 1)
+    draws = ceil(log(0.01) / log(1 - AGREE**extra))
+    if n <= cap or 2**extra <= 3 * draws:
         yield np.arange(n)
         return
-    extra = min(40, ceil(log2(n / cap)) + 1)
-    draws = ceil(log(0.01) / log(1 - AGREE**extra))
     rng = np.random.default_rng(key)
     plain = np.unpackbits(bits, axis=1)
     for _ in range(draws):
@@ -213,7 +239,7 @@ def bucket_pairs(rows: DataFrame, cap: int = CAP, distance: int = DISTANCE, near
             if not batch.num_rows:
                 continue
             keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
+            bits = _bits_of(batch)
             labels = batch.column("label").to_numpy() if labelled else ids
             edges = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
             for a, b in zip(edges, edges[1:]):
@@ -249,8 +275,8 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, block: int =
 
     def sets(batches):
         for whole in batches:
-            for batch in by_chars(whole, "text", 2_000_000):
-                found = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in text_shingles(batch.column("text").to_pylist())]
+            for batch in by_chars(whole, "text", 500_000):
+                found = [distinct((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in text_shingles(batch.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "s"])
 
     # A document of several rows is described by each; any of them may be compared.

@@ -542,6 +542,35 @@ def test_near_duplicates_in_oversized_buckets(docs, corpus):
     assert {i: r.class_id for i, r in found.items()} == brute.near_classes(corpus)
 
 
+def test_buckets_somewhat_above_the_cap_lose_no_pair():
+    """They are compared as a whole, which takes no longer than several draws of parts; much larger ones are split."""
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2, (1000, simhash.BITS), dtype=np.uint8)
+    other = one.copy()
+    for row in other:
+        row[rng.choice(simhash.BITS, simhash.DISTANCE, replace=False)] ^= 1
+    bits = np.packbits(np.concatenate([one, other]), axis=1)
+    ids, found = np.arange(len(bits)), set()
+    for g in simhash._groups(bits, 7, 512):
+        pairs, left = simhash.candidates(ids[g], np.ascontiguousarray(bits[g]).view(np.uint64), None)
+        found |= {(a, b) for a, b, apart in pairs.tolist() if apart == simhash.DISTANCE}
+        assert not left
+    assert found >= {(k, 1000 + k) for k in range(1000)}
+    assert max(map(len, simhash._groups(np.concatenate([bits] * 4)[:7000], 7, 512))) < 2000
+
+
+def test_members_of_large_groups_name_their_nearest():
+    rng = np.random.default_rng(4)
+    plain = rng.integers(0, 2, (6, simhash.BITS), dtype=np.uint8)[rng.integers(0, 6, 600)] ^ (rng.random((600, simhash.BITS)) < 0.09)
+    ids = rng.permutation(600) * 7
+    pairs, left = simhash.candidates(ids, np.packbits(plain, axis=1).view(np.uint64), None)
+    told = set()
+    for r in range(600):
+        apart = (plain[:r] != plain[r]).sum(axis=1).tolist()
+        told |= {(min(ids[r], ids[c]), max(ids[r], ids[c]), x) for x, c in sorted((x, c) for c, x in enumerate(apart) if x <= simhash.DISTANCE)[: simhash.NEAREST]}
+    assert left and set(map(tuple, pairs.tolist())) == told and len(pairs) == len(told)
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     text = "one two three four five six seven"
     rows = [(None, text), (5, text), (5, text), (7, text), (8, "other words entirely here now")]
