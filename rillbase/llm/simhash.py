@@ -193,7 +193,7 @@ def candidates(ids: np.ndarray, words: np.ndarray, labels: np.ndarray | None, di
 
 def _groups(bits: np.ndarray, key: int, cap: int):
     """The bucket itself, or if it is above the cap its parts by additional sampled coordinates, in several draws; but the bucket itself too where
-    its pairs take no longer than those of all draws, with what each part takes besides."""
+    its pairs take about as long as those of all draws, with what each part takes besides, or less."""
     n = len(bits)
     extra = min(40, ceil(log2(max(1, n / cap))) + 1)
     draws = ceil(log(0.01) / log(1 - AGREE**extra))

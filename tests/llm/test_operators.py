@@ -543,7 +543,7 @@ def test_near_duplicates_in_oversized_buckets(docs, corpus):
 
 
 def test_buckets_somewhat_above_the_cap_lose_no_pair():
-    """They are compared as a whole, which takes no longer than several draws of parts; much larger ones are split."""
+    """They are compared as a whole; much larger ones are split."""
     rng = np.random.default_rng(3)
     one = rng.integers(0, 2, (1000, simhash.BITS), dtype=np.uint8)
     other = one.copy()
