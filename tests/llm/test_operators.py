@@ -524,6 +524,32 @@ def test_ngram_scores_in_small_blocks(spark, corpus, monkeypatch):
     assert by_id(ngram.score_texts(frame)) == whole
 
 
+def test_ngram_arrays_have_only_what_is_searched_for_and_copies_once(spark, monkeypatch):
+    # 30 copies of a training text, a passage in the middle of two training texts only, and one that a held-out text shares with a training text.
+    def text(name, n=20):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(200) if i not in ids)
+    middles = [f"{text(x)} {text('m')} {text(x + 'z')}" for x in "ab"]
+    rows = [*zip(ids, [text("copy", 40)] * 30 + middles + [f"{text('c')} {text('shared')} {text('d')}"]), (held, f"{text('e')} {text('shared')} {text('f')}")]
+    kept, plain = [], ngram.matches
+
+    def matches(groups, n, parts, files):
+        kept.extend(ngram._load(files, name) for r in groups.collect() for name in r.names)
+        return plain(groups, n, parts, files)
+
+    monkeypatch.setattr(ngram, "matches", matches)
+    found = by_id(ngram.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert sorted(x for r in kept for x in r["sizes"].tolist()) == [20, 41]
+    assert sorted(x for r in kept for x in r["weights"].tolist()) == [1, 30]
+    told = brute.ngram_scores(rows, ngram.WEIGHT, ngram.GROWTH)
+    assert len(found) == len(told) == 34
+    for i, r in found.items():
+        assert tuple(r)[1:5] == told[i][:4]
+        assert tuple(r)[5:] == pytest.approx(told[i][4:], rel=1e-9)
+
+
 # 7
 
 
