@@ -96,23 +96,29 @@ _DATE_MARKS = {"": "/", "/": "/", "-": "-", ".": ".", "#": ""}
 
 def date_text(c: Column, mark: str = "/", century: bool = False, native: bool = False, pivot: int = typed.PIVOT) -> Column:
     """A date rewritten as M/D/Y, M-D-Y, D.M.Y (mark ``.``) or YYMMDD (mark ``#``); empty for what is no date."""
-    year, month, day = (F.year(c), F.month(c), F.dayofmonth(c)) if native else typed._date_parts(typed.text(c), pivot)[:3]
-    y = F.lpad(year.cast("string"), 4, "0") if century else F.lpad((year % 100).cast("string"), 2, "0")
-    m, d = F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")
-    glue = F.lit(_DATE_MARKS[mark])
-    parts = (y, m, d) if mark == "#" else (d, m, y) if mark == "." else (m, d, y)
-    return F.coalesce(F.concat(parts[0], glue, parts[1], glue, parts[2]), F.lit(""))
+
+    def told(year: Column, month: Column, day: Column, second: Column) -> Column:
+        y = F.lpad(year.cast("string"), 4, "0") if century else F.lpad((year % 100).cast("string"), 2, "0")
+        m, d = F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")
+        parts = (y, m, d) if mark == "#" else (d, m, y) if mark == "." else (m, d, y)
+        return F.concat_ws(_DATE_MARKS[mark], *parts)
+
+    whole = F.when(c.isNotNull(), told(F.year(c), F.month(c), F.dayofmonth(c), F.lit(0))) if native else typed.with_date(typed.text(c), told, pivot)
+    return F.coalesce(whole, F.lit(""))
 
 
 def time_text(c: Column, mark: str = ":", seconds: bool = True, native: bool = False, pivot: int = typed.PIVOT) -> Column:
     """The time of day as H:M:S, H.M.S (mark ``.``) or HHMMSS (mark ``#``)."""
-    second = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c) if native else typed._date_parts(typed.text(c), pivot)[3]
     two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
-    parts = [two(F.floor(second / 3600)), two(F.floor(second / 60) % 60), *([two(second % 60)] if seconds else [])]
-    glue = "" if mark == "#" else mark
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = F.concat(whole, F.lit(glue), p)
+
+    def told(second: Column) -> Column:
+        parts = [two(F.floor(second / 3600)), two(F.floor(second / 60) % 60), *([two(second % 60)] if seconds else [])]
+        return F.concat_ws("" if mark == "#" else mark, *parts)
+
+    if native:
+        whole = F.when(c.isNotNull(), told(F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)))
+    else:
+        whole = typed.with_date(typed.text(c), lambda year, month, day, second: told(second), pivot)
     return F.coalesce(whole, F.lit(""))
 
 

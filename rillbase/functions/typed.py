@@ -6,6 +6,8 @@ expressions, which stay inside code generation; native numbers and timestamps ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,44 +87,50 @@ def subfield(c: Column, first: tuple[int, int], last: tuple[int, int] | None = N
     return F.concat(*parts)
 
 
-def _date_parts(t: Column, pivot: int) -> tuple[Column, Column, Column, Column]:
-    """Year, month, day and second of the day; null where the text is no date."""
-    clock = r"(?:\s*(?<![0-9])|\s+)?(?:([0-9]{1,2})[:.]([0-9]{1,2})(?:[:.]([0-9]{1,2}))?|([0-9]{6}))?\s*$"
-    shapes = [
-        (r"^\s*([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{1,2})(?![0-9])" + clock, (3, 1, 2)),
-        (r"^\s*([0-9]{1,2})-([0-9]{1,2})-([0-9]{4}|[0-9]{1,2})(?![0-9])" + clock, (3, 1, 2)),
-        (r"^\s*([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4}|[0-9]{1,2})(?![0-9])" + clock, (3, 2, 1)),
-        (r"^\s*((?:[0-9]{2})?[0-9]{2})([0-9]{2})([0-9]{2})(?![0-9])" + clock, (1, 2, 3)),
-        (r"^\s*((?:[0-9]{2})?[0-9]{2})([0-9]{2})([0-9]{2})()()()([0-9]{6})\s*$", (1, 2, 3)),
-    ]
-    out: list[Column | None] = [None] * 4
-    for pattern, (y, m, d) in shapes:
-        got = lambda k, p=pattern: F.regexp_extract(t, p, k)
-        num = lambda k: got(k).try_cast("int")
-        packed = got(7)
-        part = lambda a, k: F.when(packed != "", F.substring(packed, a, 2).try_cast("int")).otherwise(F.coalesce(num(k), F.lit(0)))
-        hour, minute, second = part(1, 4), part(3, 5), part(5, 6)
-        good = t.rlike(pattern) & num(m).between(1, 12) & num(d).between(1, 31) & (hour < 24) & (minute < 60) & (second < 60)
-        short = F.length(got(y)) <= 2
-        year = F.when(short, pivot + F.pmod(num(y) - F.lit(pivot % 100), F.lit(100))).otherwise(num(y))
-        values = (year, num(m), num(d), hour * 3600 + minute * 60 + second)
-        out = [F.when(good, v) if o is None else o.when(good, v) for o, v in zip(out, values)]
-    return tuple(out)
-
-
-def date_key(c: Column, date_only: bool = False, pivot: int = PIVOT, native: bool = False) -> Column:
+_CLOCK = r"(?:\s*(?<![0-9])|\s+)?(?:([0-9]{1,2})[:.]([0-9]{1,2})(?:[:.]([0-9]{1,2}))?|([0-9]{2})([0-9]{2})([0-9]{2}))?\s*$"
+_DATE = (
+    r"^\s*(?:(?:(?:([0-9]{1,2})(?:/([0-9]{1,2})/|-([0-9]{1,2})-)|([0-9]{1,2})\.([0-9]{1,2})\.)([0-9]{4}|[0-9]{1,2})"
+    r"|((?:[0-9]{2})?[0-9]{2})([0-9]{2})([0-9]{2}))(?![0-9])" + _CLOCK + r"|((?:[0-9]{2})?[0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})\s*$)[\s\S]*|^[\s\S]*"
+)
+#: Year, month, day, hour, minute and second of what ``_DATE`` matches, each after a 0: a cast that fails is slow. For what is no date all are 0.
+_DATE_FIELDS = "0$6$7$16,0$1$5$8$17,0$2$3$4$9$18,0$10$13$19,0$11$14$20,0$12$15$21"
+
+
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def with_date(t: Column, use: Callable[[Column, Column, Column, Column], Column], pivot: int = PIVOT, constant: bool = False) -> Column:
+    """``use`` of year, month, day and second of the day; null where the text is no date. The text is read once.
+
+    ``constant``: ``t`` is one, and so is the result, which the optimizer then computes itself.
+    """
+    once = (lambda c, f: f(c)) if constant else _once
+
+    def parts(fields: Column) -> Column:
+        year, month, day, hour, minute, second = (F.get(fields, F.lit(k)).cast("int") for k in range(6))
+        full = F.when(F.length(F.get(fields, F.lit(0))) <= 3, pivot + F.pmod(year - F.lit(pivot % 100), F.lit(100))).otherwise(year)
+        good = month.between(1, 12) & day.between(1, 31) & (hour < 24) & (minute < 60) & (second < 60)
+        return F.when(good, use(full, month, day, hour * 3600 + minute * 60 + second))
+
+    return once(F.split(F.regexp_replace(t, _DATE, _DATE_FIELDS), ","), parts)
+
+
+def date_key(c: Column, date_only: bool = False, pivot: int = PIVOT, native: bool = False, constant: bool = False) -> Column:
     """A number that orders dates and times, null for what is none. Every month has 31 places, so 2/31 is a date.
 
     Text may be M/D/Y, M-D-Y, D.M.Y, [YY]YYMMDD, each with H:M[:S], H.M[.S] or HHMMSS after it, or one number of 12 or 14 digits.
-    ``native``: ``c`` is a date or timestamp column.
+    ``native``: ``c`` is a date or timestamp column. ``constant``: ``c`` is a constant text.
     """
+
+    def key(year: Column, month: Column, day: Column, second: Column) -> Column:
+        whole = ((year.cast("long") * 12 + month - 1) * 31 + day - 1) * 86400
+        return whole if date_only else whole + second
+
     if native:
-        parts = F.year(c), F.month(c), F.dayofmonth(c), F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-    else:
-        parts = _date_parts(text(c), pivot)
-    year, month, day, second = parts
-    whole = ((year.cast("long") * 12 + month - 1) * 31 + day - 1) * 86400
-    return whole if date_only else whole + second
+        return key(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c))
+    return with_date(text(c), key, pivot, constant)
 
 
 def is_time(df: DataFrame, name: str) -> bool:

@@ -56,7 +56,7 @@ class Keys:
             number = float(value)
             return F.lit(int(number) if number.is_integer() and abs(number) < 1 << 53 else number)
         if kind in ("date", "day"):
-            return typed.date_key(F.lit(value), kind == "day", self.pivot)
+            return typed.date_key(F.lit(value), kind == "day", self.pivot, constant=True)
         width = self.df.schema[self.column(attr)].metadata.get("width") if attr.name not in ("rec#", "seek#") else None
         value = value.ljust(int(width)) if width else value  # fixed-width attributes are padded
         return F.upper(F.lit(value)) if kind == "caseless" else F.lit(value)
