@@ -39,3 +39,7 @@ def test_columns_read_a_date_once(spark):
     assert reads(got) == 3
     key = ((1999 * 12) * 31 + 1) * 86400
     assert [tuple(r) for r in got.collect()] == [(key + 11040, "990102", "03:04:00"), (None, "", ""), (key, "990102", "00:00:00"), (None, "", "")]
+
+
+def test_date_key_reads_each_row_once(spark):
+    assert reads(queries.QUERIES["fn_date_key"](spark, FOLDER)) == 1
