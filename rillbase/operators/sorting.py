@@ -88,10 +88,18 @@ class SortKey:
         return c.desc() if self.descending else c.asc()
 
 
+def keyed(df: DataFrame, keys: list[tuple[SortKey, str]]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the values that its typed keys compare as columns, and the order by these: each is computed once, not for every comparison."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    orders = [F.col(n).desc() if k.descending else F.col(n).asc() for n, (k, _) in zip(names, keys)]
+    return df.withColumns({n: k.column(df, name) for n, (k, name) in zip(names, keys)}), orders
+
+
 def sort(df: DataFrame, *specs: str) -> DataFrame:
     """Rows by typed keys; keys with a constant value don't count."""
     keys = [SortKey.read(s) for s in specs]
-    return df.orderBy(*[k.order(df) for k in keys if k.value is None])
+    held, orders = keyed(df, [(k, k.name) for k in keys if k.value is None])
+    return held.orderBy(*orders).select(*[f"`{c}`" for c in df.columns])
 
 
 def unique(df: DataFrame, *specs: str) -> DataFrame:
@@ -125,8 +133,10 @@ def numbered(df: DataFrame, *order: str, name: str = "rec#", by: tuple[str, ...]
     if by:
         keys = [*(SortKey.read(s).order(df) for s in order), *ties]
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*keys)).cast("long"))
-    keys = [*(SortKey.read(s).order(df) for s in order), *ties]
-    rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    held, orders = keyed(df, [(k, k.name) for k in map(SortKey.read, order)])
+    keys = [*orders, *ties]
+    placed = held.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*[f"`{c}`" for c in df.columns])
+    rows = written(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33)
     counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillbase.functions import typed
-from rillbase.operators.sorting import SortKey, numbered
+from rillbase.operators.sorting import SortKey, keyed, numbered
 from rillbase.plans import where
 from rillbase.plans.conditions import Keys, compared
 
@@ -227,16 +227,18 @@ def retrieve(
         else:
             df = df.distinct()
     if sort_words == ["all"]:
-        df = df.orderBy(*[k.order(df, name) for _, name, k in items if k.value is None])
+        df, orders = keyed(df, [(k, name) for _, name, k in items if k.value is None])
+        df = df.orderBy(*orders)
     elif sort_keys:
         places = {k.name: f"_sort{i}" for i, (_, k) in enumerate(hidden)}
-        orders = []
+        told_keys = []
         for k in sort_keys:
             name = places.get(k.name, k.name)
             told = named.get(k.name)
             if told and not k.kinds:
                 k.kinds = told[1].kinds
-            orders.append(k.order(df, name))
+            told_keys.append((k, name))
+        df, orders = keyed(df, told_keys)
         df = df.orderBy(*orders)
     df = df.select(*[f"`{name}`" for _, name, k in items if not k.hidden])
     return df if limit is None else df.limit(limit)
