@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillbase.functions import typed
+from rillbase.operators.joins import divided
 from rillbase.operators.sorting import SortKey, keyed, numbered
 from rillbase.plans import where
 from rillbase.plans.conditions import Keys, compared
@@ -26,6 +27,7 @@ class _Plan:
         self.sources = [df for _, df in tables]
         self.order, self.pivot = record_order, pivot
         self.numbered: set[int] = set()
+        self.used: set[str] = set()
 
     def table_of(self, attr: where.Attr) -> int:
         if attr.table is not None:
@@ -115,7 +117,14 @@ class _Plan:
             df, condition = self.ordered_or(frames[i], c)
             frames[i] = df.where(condition).select(*[f"`{x}`" for x in columns])
         groups: list[tuple[set[int], DataFrame]] = [({i}, df) for i, df in frames.items()]
-        for members in _join_order(matches):
+        waiting = _join_order(matches)
+        while waiting:
+            members = waiting.pop(0)
+            if members[0].join == "inner" and members[0].op == "==":
+                sides = [next(g[0] for g in groups if self.table_of(x) in g[0]) for x in (members[0].left, members[0].right)]
+                more = [w for w in waiting if w[0].join == "inner" and w[0].op == "==" and sides[0] is not sides[1] and self._across(w[0], sides)]
+                waiting = [w for w in waiting if w not in more]
+                members = [*members, *sum(more, [])]
             groups = self._joined(groups, members, shown)
         result, gates = None, []
         for members, df in groups:
@@ -128,6 +137,10 @@ class _Plan:
             result = result.crossJoin(F.broadcast(found)).drop("_gate")  # at most one row
         return result
 
+    def _across(self, m: where.Match, sides: list[set[int]]) -> bool:
+        a, b = self.table_of(m.left), self.table_of(m.right)
+        return (a in sides[0] and b in sides[1]) or (a in sides[1] and b in sides[0])
+
     def _joined(self, groups, members: list[where.Match], shown: set[int]):
         first = members[0]
         a, b = self.table_of(first.left), self.table_of(first.right)
@@ -141,22 +154,40 @@ class _Plan:
             return [g for g in groups if g is not left] + [(left[0], df.where(condition))]
         rest = [g for g in groups if g is not left and g is not right]
 
-        def side(m: where.Match) -> Column:
+        def side(m: where.Match) -> tuple[Column, Column]:
             forward = self.table_of(m.left) in left[0]
             kind = "number" if "rec#" in (m.left.name, m.right.name) else m.kind
             x, y = self.keys(left[1] if forward else right[1]).key(m.left, kind, True), self.keys(right[1] if forward else left[1]).key(m.right, kind, True)
-            return compared(x, m.op, y)
-
-        condition = reduce(and_, map(side, members))
+            return (x, y) if forward else (y, x)
+
+        # What is equated is a column of its own, so that it is computed once and not by each step of the join.
+        equal, others = [m for m in members if m.op == "=="], [m for m in members if m.op != "=="]
+        names = [(f"_a{i}", f"_b{i}") for i in range(len(equal))]
+        keys = [side(m) for m in equal]
+        one = left[1].withColumns({a: x for (a, _), (x, _) in zip(names, keys)})
+        two = right[1].withColumns({b: y for (_, b), (_, y) in zip(names, keys)})
+
+        def forms(m: where.Match) -> Column:
+            x, y = side(m)
+            return compared(x, m.op, y) if self.table_of(m.left) in left[0] else compared(y, m.op, x)
+
+        condition = reduce(and_, [*(F.col(a) == F.col(b) for a, b in names), *map(forms, others)])
+        left, right, columns = (left[0], one), (right[0], two), (left[1].columns, right[1].columns)
+        if first.join == "inner":
+            by = [[c for c, t in df.dtypes if c in self.used and not t.startswith(("map", "variant"))] for df in (one, two)]
+            parts = divided(one, two, [a for a, _ in names], [b for _, b in names], *by)
+            if parts:
+                one, two = (df.withColumnsRenamed({"_group": f"_group{i}", "_part": f"_part{i}"}) for i, df in enumerate(parts))
+                condition = reduce(and_, [F.col("_group0") == F.col("_group1"), F.col("_part0") == F.col("_part1"), *map(forms, others)])
+            return rest + [(left[0] | right[0], one.join(two, condition).select(*[f"`{c}`" for c in sum(columns, [])]))]
         if first.join == "anti":
-            only_left = left[1].join(right[1], condition, "left_anti")
-            only_right = right[1].join(left[1], condition, "left_anti")
+            only_left = left[1].join(right[1], condition, "left_anti").select(*[f"`{c}`" for c in columns[0]])
+            only_right = right[1].join(left[1], condition, "left_anti").select(*[f"`{c}`" for c in columns[1]])
             if left[0] & shown and right[0] & shown:
                 return rest + [(left[0] | right[0], only_left.crossJoin(only_right))]
             keep, df = (left[0], only_left) if left[0] & shown else (right[0], only_right)
             return rest + [(keep, df)]
-        how = {"inner": "inner", "full": "full", "left": "left"}[first.join]
-        return rest + [(left[0] | right[0], left[1].join(right[1], condition, how))]
+        return rest + [(left[0] | right[0], left[1].join(right[1], condition, first.join).select(*[f"`{c}`" for c in sum(columns, [])]))]
 
 
 def _has_else(tree) -> bool:
@@ -205,6 +236,7 @@ def retrieve(
     sort_keys = [] if sort_words == ["all"] else [SortKey.read(w) for w in sort_words]
     named = {name: (attr, key) for attr, name, key in items}
     used = [a for a, _, k in items if k.value is None] + [where.attribute(k.name) for k in sort_keys if k.name not in named] + (where.attributes(tree) if tree else [])
+    plan.used = {plan.column(a) for a in used}
     plan.numbered = {plan.table_of(a) for a in used if a.name == "rec#"}
     shown = {plan.table_of(a) for a, _, k in items if k.value is None} or {0}
     hidden = [(where.attribute(k.name), k) for k in sort_keys if k.name not in named]
