@@ -19,6 +19,22 @@ def test_pairs_of_few_keys_go_to_many_tasks(spark, clause):
     assert len(by_task) > 1 and max(by_task) < 0.9 * wanted
 
 
+def test_a_task_of_the_reported_queries_holds_a_part(spark, tmp_path):
+    from rillbase import queries
+
+    nation = [(i, f"n{i}", i % 5) for i in range(25)]
+    spark.createDataFrame(nation, "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    one = lambda n, m: spark.range(n).select("id", (F.col("id") % m).cast("int").alias("nation"), (F.hash("id") % 10000).cast("double").alias("balance"))
+    one(6000, 25).select(F.col("id").alias("s_suppkey"), F.lit("s").alias("s_name"), F.col("nation").alias("s_nationkey"), F.col("balance").alias("s_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    customers = one(60000, 25).select(F.col("id").alias("c_custkey"), F.col("nation").alias("c_nationkey"), F.col("balance").alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries.QUERIES["jn_theta_residual"](spark, str(tmp_path))
+    by_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) > 1 and max(by_task) < 0.9 * sum(by_task)
+    s, c = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("supplier", "customer"))
+    assert sum(by_task) == s.join(c, (s.s_nationkey == c.c_nationkey) & (s.s_acctbal > c.c_acctbal)).count()
+
+
 def test_divided_joins_give_the_same_rows(spark, monkeypatch):
     # Nulls, repeated rows, and texts that are the same number.
     a = spark.createDataFrame([(str(i % 4) if i % 3 else f"0{i % 4}", i % 7, i // 2) for i in range(40)] + [(None, 1, 1)], "k string, x int, n int")
