@@ -54,3 +54,12 @@ def test_usual_joins_are_left_alone(spark):
     folder = "/root/testdata/sf0.001"
     c, o, n = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("customer", "orders", "nation"))
     assert joins._mostly_single(c, o, ["c_custkey"], ["o_custkey"]) and joins._mostly_single(c, n, ["c_nationkey"], ["n_nationkey"])
+
+
+def test_a_date_join_reads_each_date_once(spark):
+    from rillbase import queries
+
+    found = queries.QUERIES["jn_date"](spark, "/root/testdata/sf0.001")
+    told = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_" not in told  # the join takes keys that are computed already
+    assert found.columns == ["event_id", "o_orderkey"] and found.count() > 0
